@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import norm
-from palimpsest.llm import distinct, names, neardup, termfreq
+from palimpsest.llm import distinct, mixing, names, neardup, packing, splitting, termfreq
 from palimpsest.sources.tables import table
 
 
@@ -65,10 +65,61 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     s = distinct.term_scores(termfreq.records(_episodes(spark, d)))
-    return s.select("id", "term", "n", F.round("llr", 4).alias("llr"))
+    return s.select("id", "term", "n", (F.round("llr", 4) + 0.0).alias("llr"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p4_found, p4_entities, p5_found, p5_classes, p6_found, p6_scores)}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("tokens"))
+    limits = [(r.profile, r.capacity) for r in table(spark, d, "pack_limits").select("profile", "capacity").collect()]
+    return packing.pack(docs, limits)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).filter("piece = 1").select("profile", "doc_id")
+
+
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("profile", "doc_id", "piece", "tokens", "container")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang", "mailbox")
+    folder = F.regexp_extract("mailbox", "^([a-z]+)", 1)
+    return mixing.mix(docs, table(spark, d, "mix_targets"), folder)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1].filter("short").select("source")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def p8_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = [(r.profile, r.piece_limit, r.overlap_size) for r in table(spark, d, "pack_limits").collect()]
+    return splitting.split(table(spark, d, "documents").select("doc_id", "text"), limits)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).filter("piece = 1").select("profile", "doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_frequencies, p4_found, p4_entities, p5_found, p5_classes, p6_found, p6_scores, p7_found, p7_assignment,
+    p7_fill, p8_found, p8_shares, p8_sample, p9_found, p9_pieces)}
 
 _TERMS = r"""
 WITH recs AS (SELECT id, max(text) AS text FROM episodes WHERE id IS NOT NULL GROUP BY id),
@@ -104,5 +155,12 @@ SQL = {
         + CASE WHEN b > 0 THEN b * ln(b * (a + b + c + d) / ((a + b) * (b + d))) ELSE 0 END
         + CASE WHEN c > 0 THEN c * ln(c * (a + b + c + d) / ((c + d) * (a + c))) ELSE 0 END
         + CASE WHEN d > 0 THEN d * ln(d * (a + b + c + d) / ((c + d) * (b + d))) ELSE 0 END)) AS g2 FROM x)
-    SELECT id, term, n, round(CASE WHEN a * (b + d) >= b * (a + c) THEN g2 ELSE -g2 END, 4) AS llr FROM g""",
+    SELECT id, term, n, round(CASE WHEN a * (b + d) >= b * (a + c) THEN g2 ELSE -g2 END, 4) + 0.0 AS llr FROM g""",
+    "p7_found": """SELECT profile, doc_id FROM documents, pack_limits WHERE octet_length(encode(text)) > capacity""",
+    "p8_found": """WITH d AS (SELECT lower(trim(source)) AS source, coalesce(octet_length(encode(text)), 0) AS t FROM documents),
+    m AS (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets),
+    total AS (SELECT sum(t) AS t FROM d WHERE source IN (SELECT source FROM m))
+    SELECT m.source FROM m LEFT JOIN (SELECT source, sum(t) AS t FROM d GROUP BY 1) d USING (source), total
+    WHERE coalesce(d.t, 0) * max_repeats < target_share * total.t""",
+    "p9_found": """SELECT profile, doc_id FROM documents, pack_limits WHERE octet_length(encode(text)) > piece_limit""",
 }
