@@ -81,7 +81,7 @@ def pieces(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
     if room < 4:
         raise ValueError("the limit must exceed the overlap by 7 at least")
     cut = list(spans(data, 0, len(data), room))
-    if cut[0][1] < overlap:  # too short to share its end; with no part shared before it, it takes the next one in
+    while cut[0][1] < overlap:  # too short to share its end; with no part shared before it, it takes the next one in
         cut[:2] = [(0, cut[1][1])]
     return [(_whole(data, max(a - overlap, 0)) if a else 0, b) for a, b in cut]
 
