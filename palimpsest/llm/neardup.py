@@ -1,17 +1,20 @@
 """Near-duplicate records by a token-group matrix.
 
-Records with the same set of terms are one class; similar classes are put into groups of
-bounded size by their min-hash. The matrix holds, for each group, the union of the terms
-of its members. For a query class the number of its terms in a group's union bounds the
-similarity to any member, so groups that cannot hold a partner are never opened. The
-matrix is sparse and indexed by term: of a query only the rarest terms are looked up, as
-many as can be missed at most plus one, against the same part of the members' terms.
-All comparisons use whole term sets as 64-bit hashes and integers, no estimate decides.
+Records with the same set of terms are one class; classes that agree in several min-hashes
+are put into groups of bounded size. The matrix has a row of bits per group, the union of
+the terms of its members hashed to columns, and the least and largest size of a member. The
+terms of a query class whose columns are empty in a row are missing from every member, so
+their number bounds the similarity to the whole group, and groups that cannot hold a partner
+are never opened. Rows of the matrix are looked up by the rarest terms of the query: of the
+terms that a partner may lack, plus two, any partner shares two, so it shares a rare one of
+them or a pair of common ones. Opened groups are compared by whole term sets in integers;
+no estimate decides, and no pair is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,17 @@ from palimpsest.llm.termfreq import records
 
 #: Buckets of the term-frequency sketch that fixes the order of terms; its size never grows with the data.
 SKETCH_BUCKETS = 1 << 18
-
+#: A term in more classes than this is common and looked up only together with a second one.
+COMMON = 512
+#: Sets of more terms are looked up by single terms, as their pairs would be too many.
+LONG_SET = 384
+#: 64-bit words of a row of the matrix.
+ROW_WORDS = 8
+#: Odd factors of the min-hashes in which the classes of a group agree.
+MIN_HASHES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
+BITS = [f"b{i}" for i in range(ROW_WORDS)]
+#: Keys that more than this many classes share are spread over several tasks; at most so many such keys.
+HOT_KEY, MAX_HOT_KEYS, SALTS = 2_000, 4_096, 16
 
 def classes(recs: DataFrame, min_terms: int) -> tuple[DataFrame, DataFrame]:
     """(class_id, n, hs) per distinct term set of at least `min_terms`, and membership (class_id, id)."""
@@ -54,12 +67,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shaped(sets: DataFrame, percent: int) -> DataFrame:
-    """Adds `prefix`, the rarest terms of each set, and `seed`, the key under which similar sets meet.
+def lookup_keys(ordered: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set whose terms come from rare to common: two sets that share enough terms share a key.
 
-    Terms are ordered from rare to common by a sketch of fixed size, ties by hash. The prefix has all
-    terms but as many as any partner must share, plus one. The seed is a min-hash with a length band.
+    Of any two such sets of at most LONG_SET terms, each has two shared terms among all but ceil(percent % of n) of
+    its terms plus two, in the common order. Single keys stand for the rare ones of these, pair keys for the common
+    ones. A set that may meet a longer one, looked up by single terms, also has its keys.
     """
+    n = len(ordered)
+    keep = n - -(-n * percent // 100) + 1
+    keys = []
+    if n <= LONG_SET:
+        head, c = ordered[: keep + 1], counts[: keep + 1]
+        common = head[c > COMMON].view(np.uint64)
+        i, j = np.triu_indices(len(common), 1)
+        keys += [head[c <= COMMON], _mix(_mix(common[i]) + common[j]).view(np.int64)]
+    if n * 100 // percent >= LONG_SET:
+        keys.append(ordered[:keep])
+    return np.unique(np.concatenate(keys))
+
+
+def shaped(sets: DataFrame, percent: int) -> DataFrame:
+    """Adds `keys` (see lookup_keys), the columns of the set in a row of the matrix, and `seed`, under which similar sets meet."""
     sketch = sets.sparkSession.sparkContext.broadcast(_sketch(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,20 +101,30 @@ def shaped(sets: DataFrame, percent: int) -> DataFrame:
             lens = pc.list_value_length(hs).to_numpy().astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             row = np.repeat(np.arange(len(lens)), lens)
-            ordered = terms[np.lexsort((terms, counts[terms % SKETCH_BUCKETS], row))]
-            keep = lens - -(-lens * percent // 100) + 1
+            order = np.lexsort((terms, counts[terms % SKETCH_BUCKETS], row))
+            ordered = terms[order]
+            c = counts[ordered % SKETCH_BUCKETS]
+            keys = [lookup_keys(ordered[s : s + n], c[s : s + n], percent) for s, n in zip(starts, lens)]
+            mixed = _mix(terms.view(np.uint64))
+            column = (mixed % np.uint64(64 * ROW_WORDS)).astype(np.int64)
+            bits = np.zeros((len(lens), ROW_WORDS), dtype=np.uint64)
+            np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+            # min-hashes of the rare terms alone: the common ones make strangers alike
             at = np.arange(len(terms)) - np.repeat(starts, lens)
-            prefix = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(ordered[at < np.repeat(keep, lens)])
-            )
-            low = np.minimum.reduceat(_mix(terms.view(np.uint64)), starts)
-            band = np.floor(2 * np.log2(lens)).astype(np.uint64)
+            rare = lens - -(-lens * percent // 100) + 1
+            head = ordered[at < np.repeat(rare, lens)].view(np.uint64)
+            heads = np.concatenate([[0], np.cumsum(rare)[:-1]])
+            seed = np.floor(2 * np.log2(lens)).astype(np.uint64)
+            for factor in MIN_HASHES:
+                seed = _mix(seed + np.minimum.reduceat(_mix(head * np.uint64(factor)), heads))
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            key_lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("class_id"), b.column("n"), hs, prefix, pa.array(_mix(low + band).view(np.int64))],
-                ["class_id", "n", "hs", "prefix", "seed"],
+                [b.column("class_id"), b.column("n"), hs, key_lists, pa.array(seed.view(np.int64)), *(pa.array(bits[:, i].view(np.int64)) for i in range(ROW_WORDS))],
+                ["class_id", "n", "hs", "keys", "seed", *BITS],
             )
 
-    schema = "class_id long, n int, hs array<long>, prefix array<long>, seed long"
+    schema = "class_id long, n int, hs array<long>, keys array<long>, seed long, " + ", ".join(f"{c} long" for c in BITS)
     return sets.select("class_id", "n", "hs").mapInArrow(run, schema)
 
 
@@ -97,30 +136,45 @@ def grouped(sets: DataFrame, group_size: int) -> DataFrame:
     return salted.withColumn("g", F.xxhash64("seed", salt)).drop("seed", "in_seed")
 
 
-def similar_classes(sets: DataFrame, percent: int = 75, group_size: int = 32) -> DataFrame:
+def similar_classes(sets: DataFrame, percent: int = 75, group_size: int = 16) -> DataFrame:
     """(class_a, class_b, shared, united): pairs of classes, class_a < class_b, that share at least `percent` % of their terms."""
-    num, den = percent, 100
-    docs = grouped(shaped(sets, percent), group_size).select("class_id", "n", "hs", "prefix", "g").persist(StorageLevel.DISK_ONLY)
-    groups = docs.groupBy("g").agg(
-        F.collect_list(F.struct("class_id", "n", "hs")).alias("members"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("union"),
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("class_id").alias("last"),
-    )
+    docs = grouped(shaped(sets, percent), group_size).persist(StorageLevel.DISK_ONLY)
     matrix = docs.groupBy("g").agg(
-        F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("cols"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("class_id").alias("last")
-    ).select("g", "n_min", "n_max", "last", F.explode("cols").alias("h"))
-    asked = docs.select("class_id", "n", F.explode("prefix").alias("h"))
-    fits = (F.col("n_max") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n_min") * num) & (F.col("class_id") < F.col("last"))
-    pairs = asked.join(matrix, "h").filter(fits).select("class_id", "g").distinct()
-    q = docs.select("class_id", F.col("n").alias("qn"), F.col("hs").alias("q"))
-    bound = F.size(F.array_intersect("q", "union")) * den >= F.col("qn") * num
-    opened = pairs.join(q, "class_id").join(groups.select("g", "members", "union"), "g").filter(bound)
-    m = opened.select(F.col("class_id").alias("class_a"), "qn", "q", F.explode("members").alias("m"))
-    m = m.filter((F.col("class_a") < F.col("m.class_id")) & (F.col("m.n") * den >= F.col("qn") * num) & (F.col("qn") * den >= F.col("m.n") * num))
-    m = m.withColumn("shared", F.size(F.array_intersect("q", "m.hs"))).withColumn("united", F.col("qn") + F.col("m.n") - F.col("shared"))
-    return m.filter(F.col("shared") * den >= F.col("united") * num).select("class_a", F.col("m.class_id").alias("class_b"), "shared", "united")
-
-
-def near_duplicates(episodes: DataFrame, percent: int = 75, min_terms: int = 12, group_size: int = 32) -> tuple[DataFrame, DataFrame]:
+        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.min("n").alias("n_min"), F.max("n").alias("n_max"),
+        F.max("class_id").alias("last"), *(F.expr(f"bit_or({c})").alias(f"u{c}") for c in BITS),
+    )
+    rows = matrix.select("g", "n_min", "n_max", "last", *(f"u{c}" for c in BITS), F.explode("keys").alias("h"))
+    asked = docs.select("class_id", "n", *BITS, F.explode("keys").alias("h"))
+    # keys of many classes, found in every sixteenth class, are dealt out; what is found does not depend on it
+    seen = docs.filter(F.pmod(F.xxhash64("class_id"), F.lit(16)) == 0).select(F.explode("keys").alias("h")).groupBy("h").count()
+    hot = F.broadcast(seen.filter(F.col("count") > HOT_KEY // 16).orderBy(F.desc("count"), "h").limit(MAX_HOT_KEYS).select("h", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    asked = asked.join(hot, "h", "left").withColumn("salt", salt).drop("hot")
+    rows = rows.join(hot, "h", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    missing = reduce(lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(F.col(f"u{c}")))) for c in BITS])
+    fits = (
+        (F.col("class_id") < F.col("last")) & (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_min") * percent)
+        & (missing * 100 <= F.col("n") * (100 - percent))
+    )
+    pairs = asked.join(rows, ["h", "salt"]).filter(fits).select("class_id", "g").distinct()
+    # an opened group is compared by the members' own columns first, so only likely partners move their terms
+    q = docs.select("class_id", F.col("n").alias("qn"), *(F.col(c).alias(f"q{c}") for c in BITS))
+    members = docs.select("g", F.col("class_id").alias("class_b"), "n", *BITS)
+    lone = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in BITS])
+    near = (
+        (F.col("class_id") < F.col("class_b")) & (F.col("n") * 100 >= F.col("qn") * percent) & (F.col("qn") * 100 >= F.col("n") * percent)
+        & (lone("q", "") * 100 <= F.col("qn") * (100 - percent)) & (lone("", "q") * 100 <= F.col("n") * (100 - percent))
+    )
+    likely = pairs.join(q, "class_id").join(members, "g").filter(near).select(F.col("class_id").alias("class_a"), "class_b", "qn", "n")
+    terms_a = docs.select(F.col("class_id").alias("class_a"), F.col("hs").alias("ha"))
+    terms_b = docs.select(F.col("class_id").alias("class_b"), F.col("hs").alias("hb"))
+    m = likely.join(terms_a, "class_a").join(terms_b, "class_b")
+    m = m.withColumn("shared", F.size(F.array_intersect("ha", "hb"))).withColumn("united", F.col("qn") + F.col("n") - F.col("shared"))
+    return m.filter(F.col("shared") * 100 >= F.col("united") * percent).select("class_a", "class_b", "shared", "united")
+
+
+def near_duplicates(episodes: DataFrame, percent: int = 75, min_terms: int = 12, group_size: int = 16) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives and the membership of records in classes.
 
     Records with fewer than `min_terms` distinct terms belong to no class; so do null,
