@@ -98,7 +98,7 @@ def majority(df: DataFrame, keys: list[str], vector: str, words: int) -> DataFra
     word = F.element_at(vector, (F.floor(F.col("bit") / WORD_BITS) + 1).cast("int"))
     at = F.pmod("bit", F.lit(WORD_BITS))
     tally = bits.groupBy(*keys, "bit").agg(F.sum(F.getbit(word, at).cast("long")).alias("t"), F.count("*").alias("n"))
-    w, power = F.floor(F.col("bit") / WORD_BITS), F.shiftleft(F.lit(1).cast("long"), F.pmod("bit", F.lit(WORD_BITS)).cast("int"))
+    w, power = F.floor(F.col("bit") / WORD_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(WORD_BITS)).cast("int"))
     per_word = tally.groupBy(*keys, w.alias("w")).agg(
         F.sum(F.when(F.col("t") * 2 > F.col("n"), power).otherwise(0)).alias("v"), F.max("n").alias("n")
     )

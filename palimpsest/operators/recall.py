@@ -64,8 +64,11 @@ def cue_weights(cues: DataFrame, posts: DataFrame, directory: DataFrame) -> Data
 
 
 def lexical_scores(weights: DataFrame, posts: DataFrame) -> DataFrame:
-    """(query_id, id, score, achievable): summed weights of the cue terms an episode holds."""
-    return posts.join(weights, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"), F.max("achievable").alias("achievable"))
+    """(query_id, id, score, achievable): summed weights of the cue terms an episode holds.
+
+    Scores are rounded to 9 places, so that ties do not hang on the order of the sum.
+    """
+    return posts.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"), F.max("achievable").alias("achievable"))
 
 
 def tier_lexical(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def tier_exact(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory:
     cand = subject_candidates(cues, concepts, links).unionByName(concept_candidates(free, concepts, links))
     cand = allowed(cand, cues, directory).join(with_subject, "query_id", "left")
     held = posts.join(cand.select("query_id", "id"), "id").join(weights, ["query_id", "term"])
-    held = held.groupBy("query_id", "id").agg(F.sum("w").alias("score"), F.max("achievable").alias("achievable"))
+    held = held.groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"), F.max("achievable").alias("achievable"))
     x = cand.join(held, ["query_id", "id"], "left")
     any_score = F.max("score").over(Window.partitionBy("query_id"))
     x = x.withColumn("any", any_score.isNotNull()).withColumn("by_subject", F.coalesce("by_subject", F.lit(False)))
