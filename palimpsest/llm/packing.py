@@ -18,6 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Partial fillings looked at for one container.
+FILLING_STEPS = 60
 PACKED = "profile string, doc_id long, piece int, tokens long, container string, capacity long, fill double"
 
 
@@ -37,14 +39,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(free: list[int], room: int, steps: int, keep: int) -> list[tuple[int, ...]]:
+def fillings(free: list[int], room: int, steps: int, keep: int) -> tuple[list[tuple[int, ...]], int]:
     """Undominated ways to fill `room` with sizes out of the ascending list `free`, fullest first.
 
     A filling is left out if another one of the same number of sizes is at least as large in
     each place, or if one size fills the room as well as it does. The search is deterministic
-    and looks at no more than `steps` partial fillings.
+    and looks at no more than `steps` partial fillings; their number is returned too.
     """
     found: dict[tuple[int, ...], int] = {}
+    full: set[tuple[int, ...]] = set()
     left = steps
 
     def grow(hi: int, room: int, chosen: tuple[int, ...]) -> bool:
@@ -53,31 +56,30 @@ def fillings(free: list[int], room: int, steps: int, keep: int) -> list[tuple[in
         top = bisect_right(free, room, 0, hi)
         if not top:
             found[chosen] = room
-            return room == 0 or left <= 0
+            full.update([chosen] if room == 0 else [])
+            return len(full) >= keep or left <= 0
         i = top
         while i:
             size = free[i - 1]
             if grow(i - 1, room - size, (*chosen, size)):
                 return True
             i = bisect_left(free, size, 0, i)  # equal sizes once
-            if i and sum(free[max(0, i - 3) : i]) + size < room // 2:
-                break  # only small sizes are left: dominated by what was found
         return False
 
     grow(len(free), room, ())
     best: list[tuple[int, ...]] = []
     for f in sorted(found, key=lambda f: (found[f], len(f))):
         dominated = any(
-            (len(g) == 1 and sum(f) <= g[0]) or (len(g) == len(f) and all(x >= y for x, y in zip(g, f))) for g in best
+            (len(g) == 1 and sum(f) < g[0]) or (len(g) == len(f) and all(x >= y for x, y in zip(g, f))) for g in best
         )
         if not dominated:
             best.append(f)
             if len(best) >= keep:
                 break
-    return best
+    return best, steps - left
 
 
-def complete(sizes: list[int], capacity: int, steps: int = 20_000, width: int = 3) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, steps: int = 40_000, width: int = 4) -> list[list[int]]:
     """Bin completion: indices of the items of each container, never more containers than best-fit decreasing.
 
     Proven best when it reaches the bound total / capacity; otherwise the best found within
@@ -98,8 +100,8 @@ def complete(sizes: list[int], capacity: int, steps: int = 20_000, width: int =
             if wasted > (limit - 1) * capacity - total:  # no room for a better result
                 break
             largest, rest = free[-1], free[:-1]
-            ways = fillings(rest, capacity - largest, min(budget, 60), width)
-            budget -= 60
+            ways, used = fillings(rest, capacity - largest, FILLING_STEPS, width)
+            budget -= used + 1
             options = []
             for w in ways:
                 after = list(rest)
@@ -139,7 +141,7 @@ def _solve(steps: int):
     return run
 
 
-def pack(items: DataFrame, limits: Iterable[tuple[str, int]], block_items: int = 512, steps: int = 20_000, loose: float = 0.97) -> DataFrame:
+def pack(items: DataFrame, limits: Iterable[tuple[str, int]], block_items: int = 512, steps: int = 40_000, loose: float = 0.97) -> DataFrame:
     """(profile, doc_id, piece, tokens, container, capacity, fill): every item in one container of each profile.
 
     items has doc_id and tokens. An item above the capacity is split into full containers
