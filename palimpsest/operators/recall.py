@@ -18,6 +18,7 @@ from palimpsest.functions import hv
 from palimpsest.functions import scoring as S
 from palimpsest.functions.text import terms
 from palimpsest.operators import episodes as E
+from palimpsest.session import checkpointed
 
 MATCH = ["query_id", "id", "score", "confidence", "tier"]
 
@@ -160,41 +161,47 @@ def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concept
     posts = E.postings(episodes).persist()
     directory = E.scan_directory(episodes, tombstones).persist()
     links = E.bridge(episodes, concepts)
-    weights = cue_weights(cues, posts, directory)
-    allow = subject_candidates(cues, concepts, links)
-    out = tier_exact(cues, weights, posts, directory, concepts, links)
+    weights = cue_weights(cues, posts, directory).persist()
+    allow = subject_candidates(cues, concepts, links).persist()
+    spoken = cues.filter(F.size(terms("cue")) > 0)
+    # each tier's rows are written down: what is left for the next tiers is then read, not computed anew
+    out = checkpointed(tier_exact(cues, weights, posts, directory, concepts, links))
 
     def restricted(x: DataFrame) -> DataFrame:
         free = cues.filter("subject is null").select("query_id")
         return x.join(free, "query_id", "left_semi").unionByName(x.join(allow, ["query_id", "id"], "left_semi"))
 
+    def add(rows: DataFrame) -> None:
+        nonlocal out
+        out = out.unionByName(checkpointed(rows.select(*MATCH)))
+
+    def scanned(queries: DataFrame, column: str, score, left: DataFrame) -> DataFrame:
+        stored = vectors.select("id", F.col(column).alias("hv"))
+        return allowed(restricted(score(queries, stored, words)), left, directory)
+
     if deepest >= 1:
         left = _left(cues, out)
         lexical = lexical_scores(weights.join(left.select("query_id"), "query_id", "left_semi"), posts)
         best = top_k(allowed(restricted(lexical), left, directory), left)
-        out = out.unionByName(best.withColumn("confidence", S.lexical_confidence(F.col("score"), F.col("achievable"))).withColumn("tier", F.lit("Lexical")).select(*MATCH))
-    if vectors is not None:
-        spoken = cues.filter(F.size(terms("cue")) > 0)
-
-        def scanned(queries: DataFrame, column: str, score, *band) -> None:
-            nonlocal out
-            left = _left(spoken, out).persist()
-            stored = vectors.select("id", F.col(column).alias("hv"))
-            x = allowed(restricted(score(queries(left), stored, words)), left, directory)
-            out = out.unionByName(banded(x, left, *band))
-
-        gist = lambda c: c.select("query_id", hv.token_bundle(words)(terms("cue")).alias("hv"))
-        if deepest >= 2:
-            scanned(lambda c: structured_cues(c, concepts, words), "sig", phi_scores, S.PHI_FLOOR, S.PHI_FULL, S.BAND_B, "Similarity")
-        if deepest >= 3 and embedded_cues is not None:
-            scanned(lambda c: embedded_cues.join(c.select("query_id"), "query_id", "left_semi"), "emb", phi_scores, S.EMB_FLOOR, S.EMB_FULL, S.BAND_E, "Semantic")
-        if deepest >= 4:
-            scanned(gist, "gist", similarity_scores, S.GIST_FLOOR, S.GIST_FULL, S.BAND_C, "Gist")
+        add(best.withColumn("confidence", S.lexical_confidence(F.col("score"), F.col("achievable"))).withColumn("tier", F.lit("Lexical")))
+    if vectors is None:
+        return out
+    left = _left(spoken, out)
+    if deepest >= 2 and not left.isEmpty():
+        x = scanned(structured_cues(left, concepts, words), "sig", phi_scores, left)
+        add(banded(x, left, S.PHI_FLOOR, S.PHI_FULL, S.BAND_B, "Similarity"))
+        left = _left(spoken, out)
+    if deepest >= 3 and embedded_cues is not None and not left.isEmpty():
+        x = scanned(embedded_cues.join(left.select("query_id"), "query_id", "left_semi"), "emb", phi_scores, left)
+        add(banded(x, left, S.EMB_FLOOR, S.EMB_FULL, S.BAND_E, "Semantic"))
+        left = _left(spoken, out)
+    if deepest >= 4 and not left.isEmpty():
+        asked = left.select("query_id", hv.token_bundle(words)(terms("cue")).alias("hv"))
+        x = checkpointed(scanned(asked, "gist", similarity_scores, left))
+        add(banded(x, left, S.GIST_FLOOR, S.GIST_FULL, S.BAND_C, "Gist"))
         if deepest >= 5:
-            left = _left(spoken, out)
-            x = allowed(restricted(similarity_scores(gist(left), vectors.select("id", F.col("gist").alias("hv")), words)), left, directory)
-            near = top_k(x, left).withColumn("confidence", S.nearest_confidence(F.col("score"))).withColumn("tier", F.lit("NearestNeighbor"))
-            out = out.unionByName(near.select(*MATCH))
+            near = top_k(x.join(_left(left, out).select("query_id"), "query_id", "left_semi"), left)
+            add(near.withColumn("confidence", S.nearest_confidence(F.col("score"))).withColumn("tier", F.lit("NearestNeighbor")))
     return out
 
 
