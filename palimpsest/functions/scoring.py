@@ -127,29 +127,37 @@ def time_anchor(text: Column, now: Column) -> Column:
     Knows yesterday, today, tomorrow, now, last and this weekend, "N units ago", "in N units", "N units from
     now" and dates in ISO or US form. Months and years move on the calendar.
     """
-    t = number_words(F.lower(F.trim(text)))
-    ago = F.regexp_extract(t, r"^(?:in )?(\d{1,6}) (second|minute|hour|day|week|month|year)s?(?: ago| from now)?$", 1)
-    unit = F.regexp_extract(t, r"^(?:in )?(\d{1,6}) (second|minute|hour|day|week|month|year)s?(?: ago| from now)?$", 2)
-    back, ahead = t.endswith(" ago"), t.startswith("in ") | t.endswith(" from now")
-    n = F.when(ago != "", ago.cast("int")) * F.when(back & ~t.startswith("in "), -1).when(ahead, 1)
-    calendar = F.when(unit == "month", n).when(unit == "year", n * 12)
-    zero = F.lit(0)
-    clock = now + F.make_dt_interval(
-        F.when(unit == "day", n).when(unit == "week", n * 7).otherwise(zero), F.when(unit == "hour", n).otherwise(zero),
-        F.when(unit == "minute", n).otherwise(zero), F.when(unit == "second", n).otherwise(zero).cast("decimal(18,6)"),
-    )
-    shifted = F.when(calendar.isNotNull(), now + F.make_ym_interval(zero, calendar)).otherwise(clock)
+    said = F.array(number_words(F.lower(F.trim(text))))
+    # a lambda binds the cleaned text, and another one the parsed amount: written out, they would be repeated dozens of times
+    return F.transform(said, lambda t: _anchor(t, now))[0]
+
+
+# An amount of time before or after now.
+AMOUNT = r"^(?:in )?(\d{1,6}) (second|minute|hour|day|week|month|year)s?(?: ago| from now)?$"
+
+
+def _anchor(t: Column, now: Column) -> Column:
+    ahead = t.startswith("in ") | t.endswith(" from now")
+    sign = F.when(t.endswith(" ago") & ~t.startswith("in "), -1).when(ahead, 1)
+    amount = F.array(F.struct((F.try_to_number(F.regexp_extract(t, AMOUNT, 1), F.lit("999999")).cast("int") * sign).alias("n"), F.regexp_extract(t, AMOUNT, 2).alias("unit")))
+    shifted = F.transform(amount, lambda a: _shifted(now, a["n"], a["unit"]))[0]
     dated = F.coalesce(
         F.try_to_timestamp(t, F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.upper(t), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
         F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(t, F.lit("M/d/yyyy")),
         F.try_to_timestamp(F.initcap(t), F.lit("d MMMM yyyy")), F.try_to_timestamp(F.initcap(t), F.lit("MMMM d, yyyy")),
     )
-    none = F.lit(None).cast("timestamp")
     point = F.when(t == "now", now).when(t == "today", F.to_timestamp(F.to_date(now))).when(
         t == "tomorrow", F.to_timestamp(F.date_add(F.to_date(now), 1))
-    ).otherwise(F.coalesce(F.when(n.isNotNull(), shifted), dated))
-    at = F.struct(point.alias("start"), none.alias("end"))
+    ).otherwise(F.coalesce(shifted, dated))
+    at = F.transform(F.array(point), lambda p: F.when(p.isNotNull(), F.struct(p.alias("start"), F.lit(None).cast("timestamp").alias("end"))))[0]
     return (
         F.when(t == "yesterday", yesterday(now)).when(t == "last weekend", last_weekend(now)).when(t == "this weekend", this_weekend(now))
-        .when(point.isNotNull(), at)
+        .otherwise(at)
     )
+
+
+def _shifted(now: Column, n: Column, unit: Column) -> Column:
+    zero = F.lit(0)
+    of = lambda u: F.when(unit == u, n).otherwise(zero)
+    clock = now + F.make_dt_interval(of("day") + of("week") * 7, of("hour"), of("minute"), of("second").cast("decimal(18,6)"))
+    return F.when(n.isNotNull(), F.when(unit.isin("month", "year"), now + F.make_ym_interval(of("year"), of("month"))).otherwise(clock))

@@ -11,7 +11,7 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark():
     from palimpsest.session import local_session
 
-    s = local_session(4, "4g", 4)
+    s = local_session(4, "4g", 2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -1,5 +1,6 @@
 import io
 import json
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,18 +17,32 @@ NOTES = [
 WORDS = 40
 
 
-def first_word(text):
-    """An entity finder for tests: the first word and, after a known verb, the last one."""
-    w = text.split()
-    return [(0, len(w[0]), w[0]), (len(text) - len(w[-1]), len(text), w[-1])]
+def finder():
+    """An entity finder for tests: the first word and the last one. Nested, so that workers get it by value."""
+
+    def ends(text):
+        w = text.split()
+        return [(0, len(w[0]), w[0]), (len(text) - len(w[-1]), len(text), w[-1])]
+
+    return ends
+
+
+def observed(spark, e, notes, **options):
+    rows = [(i, text, MON + timedelta(days=d)) for i, (d, text) in enumerate(notes)]
+    return e.observe_table(spark.createDataFrame(rows, "pos long, text string, observed_at timestamp"), now=MON, **options)
+
+
+@pytest.fixture(scope="module")
+def template(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("template") / "memory"
+    observed(spark, MemoryEngine(spark, str(root), X.extractor(finder=finder()), WORDS), NOTES, source="test", session="s1")
+    return root
 
 
 @pytest.fixture
-def engine(spark, tmp_path):
-    e = MemoryEngine(spark, str(tmp_path / "memory"), X.extractor(finder=first_word), WORDS)
-    for d, text in NOTES:
-        e.observe(text, "test", "s1", MON + timedelta(days=d))
-    return e
+def engine(spark, template, tmp_path):
+    shutil.copytree(template, tmp_path / "memory")
+    return MemoryEngine(spark, str(tmp_path / "memory"), X.extractor(finder=finder()), WORDS)
 
 
 def test_recall_and_windows(engine):
@@ -43,9 +58,9 @@ def test_recall_and_windows(engine):
     far = engine.recall(Query("zylphorium quandric"))
     assert far.matches and far.tier_used in ("Gist", "NearestNeighbor", "Semantic")
     assert engine.recall(Query("zylphorium", tier_floor="Exact")).matches == []
-    assert engine.recall(Query("?!")).matches == []
-    assert engine.recall(Query(cue, k=2)).matches[0].rank == 1 and len(engine.recall(Query(cue, k=2)).matches) == 2
-    assert engine.recall(Query("wireframe", min_confidence=0.99)).matches == []
+    assert engine.recall(Query("?!", tier_floor="Lexical")).matches == []
+    assert [m.rank for m in engine.recall(Query(cue, k=2, tier_floor="Lexical")).matches] == [1, 2]
+    assert engine.recall(Query("wireframe", min_confidence=0.99, tier_floor="Lexical")).matches == []
 
 
 def test_supersede_stats_export(engine, spark, tmp_path):
@@ -64,9 +79,8 @@ def test_supersede_stats_export(engine, spark, tmp_path):
 
 
 def test_facts_concepts_and_subjects(spark, tmp_path):
-    e = MemoryEngine(spark, str(tmp_path / "m"), X.extractor(finder=first_word), WORDS)
-    for d, text in enumerate(["Sarah recommended Bawri", "Sarah likes Olive", "sarah visited Trishna", "Marko met Olive"]):
-        e.observe(text, now=MON + timedelta(days=d))
+    e = MemoryEngine(spark, str(tmp_path / "m"), X.extractor(finder=finder()), WORDS)
+    observed(spark, e, list(enumerate(["Sarah recommended Bawri", "Sarah likes Olive", "sarah visited Trishna", "Marko met Olive"])))
     assert {r.canonical_name for r in e.table("concepts").collect()} == {"Sarah", "Bawri", "Olive", "Trishna", "Marko"}
     facts = [t for r in e.list_episodes() for t in r.triples]
     assert [(t.subject, t.predicate, t.object) for t in facts][2] == ("Sarah", "visited", "Trishna")
@@ -80,10 +94,8 @@ def test_facts_concepts_and_subjects(spark, tmp_path):
 
 
 def test_consolidation_and_contradictions(spark, tmp_path):
-    e = MemoryEngine(spark, str(tmp_path / "m"), X.extractor(finder=first_word), WORDS)
-    for _ in range(3):
-        e.observe("Sarah likes Olive", now=MON)
-    e.observe("Sarah likes Bawri", now=MON + timedelta(days=4))
+    e = MemoryEngine(spark, str(tmp_path / "m"), X.extractor(finder=finder()), WORDS)
+    observed(spark, e, [(0, "Sarah likes Olive")] * 3 + [(4, "Sarah likes Bawri")])
     assert e.consolidate(MON) == {"scanned": 4, "atoms_created": 1, "contradictions": 1}
     assert e.consolidate(MON)["atoms_created"] == 0
     atom = e.recall(Query("Sarah")).semantic_atoms[0]
@@ -111,8 +123,8 @@ def test_goals(engine):
             call(g)
     with pytest.raises(UnknownId):
         engine.pause_goal(77)
-    plain = engine.recall(Query("wireframe"))
-    biased = engine.recall(Query("wireframe", goal_bias_weight=0.5))
+    plain = engine.recall(Query("wireframe", tier_floor="Lexical"))
+    biased = engine.recall(Query("wireframe", goal_bias_weight=0.5, tier_floor="Lexical"))
     assert biased.matches[0].confidence > plain.matches[0].confidence
 
 
