@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +87,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def find_entities(text: str) -> list[Entity]:
     """The default entity finder: runs of capitalised words, those that only begin a sentence in common use left out."""
     found = []
-    for m in re.finditer(r"[^\W\d_][\w'’.-]*(?:[ ](?=[^\W\d_a-z])[^\W\d_][\w'’.-]*)*", text):
-        body = m.group().rstrip(".'’-")
-        if body[:1].isupper() and body.lower() not in _COMMON:
+    for m in regex.finditer(r"(?<!\w)\p{Lu}[\w'’-]*(?:[ ](?=\p{Lu})[\w'’-]+)*", text):
+        body = m.group().rstrip("'’-")
+        if body.lower() not in _COMMON:
             found.append((m.start(), m.start() + len(body), body))
     return found
 
