@@ -23,7 +23,7 @@ def verify_sha256(spark: SparkSession, path: str, expected: str) -> None:
 
 def read_vocabulary(spark: SparkSession, path: str, limit: int | None = None) -> dict[str, int]:
     """Token -> id from a text file with one token a line; the id is the line number from 0."""
-    lines = [r.value for r in spark.read.option("wholetext", "true").text(path).collect()]
+    lines = [r.value for r in spark.read.text(path, wholetext=True).collect()]
     tokens = "".join(lines).splitlines()[:limit]
     return {t: i for i, t in enumerate(tokens)}
 
