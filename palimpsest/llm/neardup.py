@@ -44,9 +44,10 @@ def classes(recs: DataFrame, min_terms: int) -> tuple[DataFrame, DataFrame]:
     """(class_id, n, hs) per distinct term set of at least `min_terms`, and membership (class_id, id)."""
     hs = F.array_sort(F.transform(distinct_terms("text"), lambda t: F.xxhash64(t)))
     sets = recs.select("id", hs.alias("hs")).filter(F.size("hs") >= min_terms)
-    keyed = sets.withColumn("k1", F.xxhash64("hs")).withColumn("k2", F.hash("hs"))
+    # written to disk once: the sketch, the matrix and the membership all start from it
+    keyed = sets.withColumn("k1", F.xxhash64("hs")).withColumn("k2", F.hash("hs")).persist(StorageLevel.DISK_ONLY)
     one = keyed.groupBy("k1", "k2").agg(F.min_by("hs", "id").alias("hs"), F.min("id").alias("class_id"))
-    one = one.select("class_id", F.size("hs").alias("n"), "hs", "k1", "k2")
+    one = one.select("class_id", F.size("hs").alias("n"), "hs", "k1", "k2").persist(StorageLevel.DISK_ONLY)
     members = keyed.select("id", "k1", "k2").join(one.select("class_id", "k1", "k2"), ["k1", "k2"]).select("class_id", "id")
     return one.drop("k1", "k2"), members
 
