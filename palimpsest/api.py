@@ -182,6 +182,18 @@ class MemoryEngine:
         asked = self.spark.createDataFrame([(name,)], "name string")
         return [r.concept_id for r in E.concept_lookup(asked, self.table("concepts")).collect()]
 
+    def create_concept(self, name: str, entity_type: str | None = None) -> int:
+        """The id of the concept of exactly this name, made if there is none."""
+        have = self.table("concepts").filter(F.col("canonical_name") == name).agg(F.min("id")).collect()[0][0]
+        if have is not None:
+            return have
+        id_ = self._next("concepts")
+        self.store.append("concepts", self._rows("concepts", [(id_, name, [], entity_type)]))
+        return id_
+
+    def concept_name(self, id_: int) -> str:
+        return self._one("concepts", id_).canonical_name
+
     def timeline(self, low: datetime, high: datetime, subject: str | None = None, limit: int | None = None) -> list[Row]:
         """Episodes of a window, of a subject if given; an unknown subject has none."""
         ids = None if subject is None else self._concepts_named(subject)
@@ -343,6 +355,9 @@ class MemoryEngine:
     def get_goal(self, id_: int) -> Row:
         return self._one("goals", id_)
 
+    def goal_signature(self, id_: int) -> list[int]:
+        return list(self._one("goals", id_).hv)
+
     def active_goals(self) -> list[Row]:
         return G.active(self.table("goals")).collect()
 
@@ -405,6 +420,9 @@ class MemoryEngine:
     def get_belief(self, id_: int) -> Row:
         return self._one("beliefs", id_)
 
+    def belief_signature(self, id_: int) -> list[int]:
+        return list(self._one("beliefs", id_).hv)
+
     def all_beliefs(self) -> list[Row]:
         return self.table("beliefs").orderBy("id").collect()
 

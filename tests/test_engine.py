@@ -105,6 +105,13 @@ def test_consolidation_and_contradictions(spark, tmp_path):
     assert kinds.count("consolidation_run") == 2 and kinds.count("self_vector_updated") == 1
 
 
+def test_concepts_by_name(engine):
+    a = engine.create_concept("New Place", "place")
+    assert engine.create_concept("New Place") == a and engine.concept_name(a) == "New Place"
+    with pytest.raises(UnknownId):
+        engine.concept_name(999)
+
+
 def test_goals(engine):
     g = engine.set_goal("ship the wireframe", now=MON)
     child = engine.set_goal("review the wireframe", parent_id=g)
@@ -115,7 +122,7 @@ def test_goals(engine):
     engine.resume_goal(g)
     before = engine.get_goal(g).hv
     engine.revise_goal(g, description="ship the prototype")
-    assert engine.get_goal(g).hv != before
+    assert engine.goal_signature(g) != before and len(engine.goal_signature(child)) == WORDS
     engine.complete_goal(g, [1, 2])
     assert engine.get_goal(g).completed_evidence == [1, 2]
     for call in (engine.resume_goal, engine.abandon_goal, engine.complete_goal):
