@@ -138,7 +138,7 @@ def time_anchors(spark, d):
 def _recall_parts(spark, d):
     episodes, stones, concepts = _t(spark, d, "episodes", "tombstones", "concepts")
     cues = R.with_defaults(table(spark, d, "cues"))
-    posts, directory = E.postings(episodes), E.scan_directory(episodes, stones)
+    posts, directory = E.postings(episodes).persist(), E.scan_directory(episodes, stones).persist()
     return cues, posts, directory, R.cue_weights(cues, posts, directory), concepts, E.bridge(episodes, concepts)
 
 
