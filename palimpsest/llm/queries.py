@@ -140,6 +140,13 @@ SQL = {
     pairs AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s, any_value(a.k) + any_value(b.k) AS k
         FROM p a JOIN p b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
     SELECT id_a, id_b FROM pairs WHERE s * 100 >= (k - s) * 75""",
+    "p5_classes": _TERMS
+    + """, sized AS (SELECT id, count(*) AS k, string_agg(term, ' ' ORDER BY term) AS s FROM per GROUP BY id HAVING count(*) >= 12),
+    cls AS (SELECT id, k, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM sized),
+    p AS (SELECT per.id, term, k FROM per JOIN cls USING (id) WHERE id = class_id),
+    pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS s, any_value(a.k) + any_value(b.k) AS k FROM p a JOIN p b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2),
+    linked AS (SELECT a AS class_id, count(*) AS n FROM pairs WHERE s * 100 >= (k - s) * 75 GROUP BY 1)
+    SELECT id, class_id, coalesce(n, 0) + copies - 1 AS links FROM cls LEFT JOIN linked USING (class_id)""",
     "p6_found": _TERMS
     + r""", c AS (SELECT query_id, max(cue) AS cue FROM cues WHERE query_id IS NOT NULL GROUP BY 1),
     ct AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(cue), '[\p{L}\p{N}]+')) AS term FROM c)),
