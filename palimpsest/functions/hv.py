@@ -10,11 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of a word, and words of a full-width vector (8,220 bits).
@@ -209,6 +210,47 @@ def scan(queries: DataFrame, stored: DataFrame, words: int = FULL_WORDS, block:
         out = out.unionByName(stored.filter("id is not null and hv is not null").select("id", "hv").mapInArrow(run, schema))
 
 
+def nearest(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORDS, block: int = 256, rows_at_once: int = 256) -> DataFrame:
+    """The k stored vectors of least distance to each query, ties to the smaller id: (query_id, id, distance).
+
+    As `scan`, but each batch keeps its own k best of a query, so the pairs never leave the task that compares them.
+    """
+    session = stored.sparkSession
+    schema = "query_id long, id long, distance long"
+    out = session.createDataFrame([], schema)
+    asked = queries.select("query_id", "hv").toLocalIterator()
+    while taken := list(islice(asked, block)):
+        sent = session.sparkContext.broadcast((np.array([r.query_id for r in taken], dtype=np.int64), np.array([r.hv for r in taken], dtype=np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qid, q = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column("id").to_numpy()
+                s = b.column("hv").flatten().to_numpy().reshape(-1, words)
+                d = np.empty((len(qid), len(own)), dtype=np.int64)
+                for at in range(0, len(own), rows_at_once):  # so few that they stay in the processor's cache
+                    part = s[at : at + rows_at_once]
+                    for i in range(len(qid)):
+                        d[i, at : at + rows_at_once] = np.bitwise_count(part ^ q[i]).sum(axis=1, dtype=np.int64)
+                best = [_least(x, own, min(k, len(x))) for x in d]
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": np.repeat(qid, [len(x) for x in best]), "id": own[np.concatenate(best)],
+                    "distance": np.concatenate([d[i, x] for i, x in enumerate(best)]),
+                })
+
+        out = out.unionByName(stored.filter("id is not null and hv is not null").select("id", "hv").mapInArrow(run, schema))
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _least(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances, ties to the smaller id."""
+    near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], distance[near]))[:k]]
+
+
 # Encodings of facts, episodes, goals and beliefs.
 
 # Names of the role vectors.

@@ -21,7 +21,8 @@ from palimpsest.sources import jsonl
 from palimpsest.sources.tables import table
 from palimpsest.streaming import sensory
 
-#: Words of the vectors in queries that SQL checks bit by bit; the engine's default is full width.
+#: Words of the vectors in queries that SQL checks bit by bit; they show that the operators are right on a prefix, the
+#: `.._full` queries have the results at full width.
 NARROW = 4
 #: The clock of the queries, and other points in time they ask about.
 NOW, AS_OF, FROM, TO = "2025-12-31 00:00:00", "2025-01-01 00:00:00", "2024-06-01 00:00:00", "2024-06-30 00:00:00"
@@ -194,21 +195,29 @@ def goal_biased_recall(spark, d):
 # ---- hypervectors and embeddings
 
 
-def hv_bind_similarity(spark, d):
-    c = table(spark, d, "concepts").select("id", hv.from_name("canonical_name", NARROW).alias("a"))
+def hv_bind_similarity(spark, d, words=NARROW):
+    c = table(spark, d, "concepts").select("id", hv.from_name("canonical_name", words).alias("a"))
     b = c.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
     x = c.join(b, "id")
-    return x.select("id", hv.hamming(F.col("a"), F.col("b")).alias("distance"), r6(hv.similarity(F.col("a"), F.col("b"), NARROW)).alias("similarity"))
+    return x.select("id", hv.hamming(F.col("a"), F.col("b")).alias("distance"), r6(hv.similarity(F.col("a"), F.col("b"), words)).alias("similarity"))
 
 
-def hv_phi_band(spark, d):
-    c = table(spark, d, "concepts").select("id", hv.from_name("canonical_name", NARROW).alias("a"))
-    role = hv.from_name(F.lit(hv.ROLE_SUBJECT), NARROW)
+def hv_bind_similarity_full(spark, d):
+    return hv_bind_similarity(spark, d, hv.FULL_WORDS)
+
+
+def hv_phi_band(spark, d, words=NARROW):
+    c = table(spark, d, "concepts").select("id", hv.from_name("canonical_name", words).alias("a"))
+    role = hv.from_name(F.lit(hv.ROLE_SUBJECT), words)
     both = F.zip_with("a", role, lambda x, y: x.bitwiseAND(y))
-    phi = hv.phi(hv.popcount(F.col("a")), hv.popcount(both), hv.hamming(F.col("a"), both), NARROW)
+    phi = hv.phi(hv.popcount(F.col("a")), hv.popcount(both), hv.hamming(F.col("a"), both), words)
     return c.select("id", r6(phi).alias("phi"), r6(S.band(phi, S.PHI_FLOOR, S.PHI_FULL, S.BAND_B)).alias("confidence"))
 
 
+def hv_phi_band_full(spark, d):
+    return hv_phi_band(spark, d, hv.FULL_WORDS)
+
+
 def hv_majority(spark, d):
     """Majority over the terms of each episode, in plain aggregates."""
     one = E.unique_episodes(table(spark, d, "episodes")).select("id", F.explode(R.terms("text")).alias("term"))
@@ -216,14 +225,27 @@ def hv_majority(spark, d):
     return x.select("id", F.col("hv")[0].alias("w0"))
 
 
-def gist_nearest(spark, d):
+def hv_majority_full(spark, d):
+    """The whole majority vector of each episode with terms."""
+    return _gists(table(spark, d, "episodes"), hv.FULL_WORDS)
+
+
+def _gists(episodes: DataFrame, words: int) -> DataFrame:
+    return E.unique_episodes(episodes).filter(F.size(R.terms("text")) > 0).select("id", hv.token_bundle(words)(R.terms("text")).alias("hv"))
+
+
+def gist_nearest(spark, d, words=1):
     cues = R.with_defaults(table(spark, d, "cues")).filter(F.size(R.terms("cue")) > 0)
-    gist = E.unique_episodes(table(spark, d, "episodes")).filter(F.size(R.terms("text")) > 0).select("id", hv.token_bundle(1)(R.terms("text")).alias("hv"))
-    q = cues.select("query_id", hv.token_bundle(1)(R.terms("cue")).alias("hv"))
-    x = R.top_k(R.similarity_scores(q, gist, 1), cues.withColumn("k", F.lit(5)))
+    q = cues.select("query_id", hv.token_bundle(words)(R.terms("cue")).alias("hv"))
+    x = hv.nearest(q, _gists(table(spark, d, "episodes"), words).persist(), 5, words)
+    x = x.withColumn("score", 1 - F.col("distance") / float(words * hv.WORD_BITS))
     return x.select("query_id", "id", r6("score").alias("score"), r6(S.nearest_confidence(F.col("score"))).alias("confidence"))
 
 
+def gist_nearest_full(spark, d):
+    return gist_nearest(spark, d, hv.FULL_WORDS)
+
+
 def embedding_cosine_topk(spark, d):
     v = table(spark, d, "embeddings")
     return search.blocked_top_k(v.filter("vec_id % 20 = 0"), v, 10).select("query_id", "vec_id", r6("score").alias("score"))
@@ -234,17 +256,29 @@ def charikar_projection(spark, d):
     return x.select("vec_id", F.col("hv")[0].alias("w0"))
 
 
+def charikar_projection_full(spark, d):
+    return V.projected(table(spark, d, "embeddings"), hv.FULL_WORDS, 64, "vec_id", "embedding")
+
+
 def feature_hash_embedding(spark, d):
     x = V.hashed(E.unique_episodes(table(spark, d, "episodes")).select("id", "text"))
     return x.select("id", "bucket", r6("value").alias("value"))
 
 
+def _self_folds(spark, d, words):
+    c = table(spark, d, "concepts").withColumn("kind", F.lower(F.trim("entity_type"))).select("kind", hv.from_name("canonical_name", words).alias("hv"))
+    return selfmodel.or_fold(c, "hv", words, ["kind"]).join(selfmodel.xor_fold(c, "hv", words, ["kind"]).withColumnRenamed("hv", "x").withColumnRenamed("kind", "k"), F.col("kind").eqNullSafe(F.col("k")))
+
+
 def self_vector_folds(spark, d):
-    c = table(spark, d, "concepts").withColumn("kind", F.lower(F.trim("entity_type"))).select("kind", hv.from_name("canonical_name", 2).alias("hv"))
-    both = selfmodel.or_fold(c, "hv", 2, ["kind"]).join(selfmodel.xor_fold(c, "hv", 2, ["kind"]).withColumnRenamed("hv", "x").withColumnRenamed("kind", "k"), F.col("kind").eqNullSafe(F.col("k")))
+    both = _self_folds(spark, d, 2)
     return both.select("kind", F.col("hv")[0].alias("or0"), F.col("hv")[1].alias("or1"), F.col("x")[0].alias("xor0"), F.col("x")[1].alias("xor1"))
 
 
+def self_vector_folds_full(spark, d):
+    return _self_folds(spark, d, hv.FULL_WORDS).select("kind", F.col("hv").alias("any"), F.col("x").alias("odd"))
+
+
 # ---- beliefs, goals, unlearning
 
 
@@ -392,5 +426,6 @@ QUERIES = {f.__name__: f for f in (
     hv_phi_band, hv_majority, gist_nearest, embedding_cosine_topk, charikar_projection, feature_hash_embedding, self_vector_folds,
     belief_revisions, belief_current, belief_evidence_correction, active_beliefs, goal_transitions, unlearn_source, unlearn_concept,
     restore_window, learning_log, consolidated_atoms, surprise_scores, predicate_canonical, heuristic_relations, extraction_quality,
+    hv_bind_similarity_full, hv_phi_band_full, hv_majority_full, gist_nearest_full, charikar_projection_full, self_vector_folds_full,
     alias_resolution, observed_batch, bm25_topk, naive_scan_topk, ranking_quality, jsonl_roundtrip,
 )}
