@@ -275,3 +275,32 @@ def episode_members(episodes: DataFrame, words: int = FULL_WORDS) -> DataFrame:
     )
     day = episodes.filter("size(triples) > 0").select("id", day_vector(F.col("valid_start"), words).alias("hv"))
     return facts.unionByName(day).filter("hv is not null")
+
+
+def signature(words: int = FULL_WORDS):
+    """Arrow UDF (triples, valid_start) -> array<bigint>: the majority of `episode_members` made in the row itself, null without members.
+
+    The same as `bundle_groups` over `episode_members`, for stored episodes with one row each: no tallies are shuffled.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def sign(facts: pd.Series, days: pd.Series) -> pd.Series:
+        subject, predicate, obj, time = (name_bits(r, words) for r in (ROLE_SUBJECT, ROLE_PREDICATE, ROLE_OBJECT, ROLE_TIME))
+
+        def one(triples, day):
+            if triples is None or not len(triples):
+                return None
+            tally, n = np.zeros(words * WORD_BITS, dtype=np.int64), 0
+            for s, p, o in triples:
+                if s is not None and p is not None and o is not None:
+                    tally += (subject ^ name_bits(s, words)) + (predicate ^ name_bits(p, words)) + (obj ^ name_bits(o, words)) >= 2
+                    n += 1
+            if day is not None:
+                tally += time ^ name_bits(day, words)
+                n += 1
+            return pack_bits(2 * tally > n) if n else None
+
+        return pd.Series([one(t, d) for t, d in zip(facts, days)], dtype=object)
+
+    names = lambda t: F.array(t["subject"], t["predicate"], t["object"])
+    return lambda triples, start: sign(F.transform(triples, names), F.date_format(start, "yyyy-MM-dd"))

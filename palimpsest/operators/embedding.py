@@ -59,15 +59,15 @@ def signs(bits: int, dim: int) -> np.ndarray:
 
 def projected(df: DataFrame, words: int = hv.FULL_WORDS, dim: int = DIM, key: str = "id", column: str = "embedding") -> DataFrame:
     """(key, hv): bit i is set if the signed sum of trunc(1024 * value) is positive. Null or short embeddings are left out."""
-    matrix = df.sparkSession.sparkContext.broadcast(signs(words * hv.WORD_BITS, dim))  # of fixed size
+    matrix = df.sparkSession.sparkContext.broadcast(signs(words * hv.WORD_BITS, dim).T.astype(np.float64))  # of fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            x = np.trunc(1024 * np.stack([np.asarray(e, dtype=np.float64) for e in f["e"]])).astype(np.int64)
-            set_ = (x @ matrix.value.T) > 0
-            yield pd.DataFrame({"k": f["k"], "hv": [hv.pack_bits(r) for r in set_]})
+            for at in range(0, len(f), 512):  # products of a whole batch would take 66 kB a row
+                part = f.iloc[at : at + 512]
+                x = np.trunc(1024 * np.stack([np.asarray(e, dtype=np.float64) for e in part["e"]]))
+                set_ = (x @ matrix.value) > 0  # sums of whole numbers, exact in doubles
+                yield pd.DataFrame({"k": part["k"], "hv": [hv.pack_bits(r) for r in set_]})
 
     rows = df.filter((F.size(column) == dim)).select(F.col(key).cast("long").alias("k"), F.col(column).alias("e"))
     return rows.mapInPandas(run, "k long, hv array<bigint>").select(F.col("k").alias(key), "hv")

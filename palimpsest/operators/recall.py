@@ -210,7 +210,7 @@ def goal_bias(matches: DataFrame, goals: DataFrame, signatures: DataFrame, weigh
 
     goals (id, hv) are the stated set the signatures of the finalists are scanned for; no row enters or leaves.
     """
-    finalists = signatures.join(matches.select("id").distinct(), "id", "left_semi").select("id", "hv")
+    finalists = signatures.join(matches.select("id").distinct(), "id", "left_semi").select("id", "hv").persist()
     sims = similarity_scores(goals.select(F.col("id").alias("query_id"), "hv"), finalists, words).groupBy("id").agg(F.max("score").alias("sim"))
     x = matches.join(sims, "id", "left")
     boosted = S.goal_boost(F.col("confidence"), F.lit(max(0.0, min(1.0, weight))), F.col("sim"))

@@ -169,15 +169,14 @@ def recency_rerank(spark, d):
 
 
 def cascade_recall(spark, d):
-    """All tiers at narrow width, the semantic tier with the hashed embedding, then floor, order and texts."""
+    """All tiers at full width, the semantic tier with the hashed embedding, then floor, order and texts."""
     episodes, stones, concepts, cues = _t(spark, d, "episodes", "tombstones", "concepts", "cues")
     one = E.unique_episodes(episodes)
-    sig = hv.bundle_groups(hv.episode_members(one, NARROW), "id", "hv", NARROW).select("id", F.col("hv").alias("sig"))
-    gist = one.select("id", hv.token_bundle(NARROW)(R.terms("text")).alias("gist"))
-    embedded = lambda x, key: V.projected(V.dense(V.hashed(x, 64, key), 64, key), NARROW, 64, key)
-    vectors = gist.join(sig, "id", "left").join(embedded(one.select("id", "text"), "id").withColumnRenamed("hv", "emb"), "id", "left").persist()
+    embedded = lambda x, key: V.projected(V.dense(V.hashed(x, key=key), key=key), key=key)
+    made = one.select("id", hv.token_bundle()(R.terms("text")).alias("gist"), hv.signature()(F.col("triples"), F.col("valid_start")).alias("sig"))
+    vectors = made.join(embedded(one.select("id", "text"), "id").withColumnRenamed("hv", "emb"), "id", "left").persist()
     asked = cues.filter("query_id is not null").select("query_id", F.col("cue").alias("text"))
-    matches = R.cascade(cues, episodes, stones, concepts, vectors, embedded(asked, "query_id"), words=NARROW)
+    matches = R.cascade(cues, episodes, stones, concepts, vectors, embedded(asked, "query_id"))
     out = R.finish(matches, cues, episodes)
     return out.select("query_id", "rank", "id", r6("confidence").alias("confidence"), "tier")
 
@@ -186,9 +185,9 @@ def goal_biased_recall(spark, d):
     """Lexical recall drawn towards goals that are the cues of the class exact."""
     cues, posts, directory, weights, *_ = _recall_parts(spark, d)
     one = E.unique_episodes(table(spark, d, "episodes"))
-    gist = one.select("id", hv.token_bundle(NARROW)(R.terms("text")).alias("hv"))
-    goals = cues.filter("cue_class = 'exact'").select(F.col("query_id").alias("id"), hv.token_bundle(NARROW)(R.terms("cue")).alias("hv"))
-    x = R.goal_bias(R.tier_lexical(cues, weights, posts, directory), goals, gist, 0.2, NARROW)
+    gist = one.select("id", hv.token_bundle()(R.terms("text")).alias("hv"))
+    goals = cues.filter("cue_class = 'exact'").select(F.col("query_id").alias("id"), hv.token_bundle()(R.terms("cue")).alias("hv"))
+    x = R.goal_bias(R.tier_lexical(cues, weights, posts, directory), goals, gist, 0.2)
     return x.select("query_id", "id", r6("confidence").alias("confidence"))
 
 
