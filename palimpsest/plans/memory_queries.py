@@ -363,7 +363,7 @@ def consolidated_atoms(spark, d):
 
 
 def surprise_scores(spark, d):
-    x = sensory.surprise(E.unique_episodes(table(spark, d, "episodes")).select("id", "text"), 1)
+    x = sensory.surprise(E.unique_episodes(table(spark, d, "episodes")).select("id", "text"))
     return x.select("id", r6("surprise").alias("surprise"), (F.col("surprise") >= sensory.PROMOTE_AT).alias("promoted"))
 
 

@@ -195,3 +195,13 @@ def test_signature_in_the_row(spark, recall_folder):
     e = spark.read.parquet(f"{recall_folder[0]}/episodes.parquet")
     grouped = {r.id: r.hv for r in hv.bundle_groups(hv.episode_members(e), "id", "hv").collect()}
     assert {r.id: r.v for r in e.select("id", hv.signature()(F.col("triples"), F.col("valid_start")).alias("v")).collect() if r.v} == grouped
+
+
+def test_surprise_at_full_width(spark, recall_folder):
+    d, rows_ = recall_folder
+    v = [g if (g := bundle(r[1])) is not None else np.zeros(8220, int) for r in rows_]
+    want = {}
+    for i, r in enumerate(rows_):
+        s = min((float((x != v[i]).mean()) for x in v[max(0, i - 64) : i]), default=1.0) if bundle(r[1]) is not None else 0.0
+        want[r[0]] = (round(s, 6), s >= 0.4)
+    assert {r.id: (r.surprise, r.promoted) for r in rows(spark, d, "surprise_scores")} == want
