@@ -146,15 +146,20 @@ def change_rates(versions: DataFrame, fast_share: float = 0.5) -> DataFrame:
 
 
 def append(satellite: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of `batch` to append to a satellite: those whose hash_diff differs from the newest one stored.
+    """Rows of `batch` to append to a satellite: those that open a version after the row before them, stored or new.
 
-    Both have hub, attribute, hash_diff and valid_start. Late rows (not after the newest
-    stored start of their group) are returned too if their hash is new at their place;
-    nothing stored is rewritten, as end dates come from the view.
+    Both have hub, attribute, hash_diff and valid_start, and valid_end where ends are stated. Nothing stored is rewritten.
+    A row that was left out as unchanged is not known to later batches: a late row before it, or its stated end,
+    makes a version in `satellites` on the whole that is not found here.
     """
-    newest = satellite.groupBy(*GROUP).agg(F.max_by(F.struct("hash_diff", "valid_start"), "valid_start").alias("newest"))
-    w = Window.partitionBy(*GROUP).orderBy("valid_start")
     known = satellite.select(*GROUP, "hash_diff", "valid_start").distinct()
-    fresh = batch.join(known, [*GROUP, "hash_diff", "valid_start"], "left_anti").join(newest, GROUP, "left")
-    before = F.coalesce(F.lag("hash_diff").over(w), F.when(F.col("newest.valid_start") < F.col("valid_start"), F.col("newest.hash_diff")))
-    return fresh.withColumn("before", before).filter("before is null or before != hash_diff").drop("before", "newest")
+    fresh = batch.join(known, [*GROUP, "hash_diff", "valid_start"], "left_anti").select(*batch.columns)
+    touched = satellite.join(fresh.select(*GROUP).distinct(), GROUP, "left_semi")
+    columns = [*GROUP, "hash_diff", "valid_start", *(["valid_end"] if "valid_end" in satellite.columns else [])]
+    both = fresh.withColumn("_new", F.lit(True)).unionByName(touched.select(*columns).withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    if "valid_end" not in both.columns:
+        both = both.withColumn("valid_end", F.lit(None).cast("timestamp_ntz"))
+    # a stored row with the same start comes before the new one, which corrects it
+    w = Window.partitionBy(*GROUP).orderBy("valid_start", "_new")
+    before = F.lag(F.struct("hash_diff", "valid_start", "valid_end")).over(w)
+    return both.withColumn("before", before).filter(F.col("_new") & _opens(F.col("before"))).select(*batch.columns)

@@ -76,3 +76,13 @@ def test_append_only_changes(spark):
     got = {(r.hub, r.hash_diff, r.valid_start) for r in history.append(stored, batch).collect()}
     assert got == {("a", "h3", at(8)), ("b", "h1", at(1))}
     assert history.append(stored, batch.filter("false")).count() == 0
+
+
+def test_append_late_rows_and_stated_ends(spark):
+    cols = "hub string, attribute string, hash_diff string, valid_start timestamp_ntz, valid_end timestamp_ntz"
+    at = lambda d: DAY + timedelta(days=d)
+    row = lambda hub, h, d, end=None: (hub, "role", h, at(d), None if end is None else at(end))
+    stored = spark.createDataFrame([row("a", "B", 5), row("b", "A", 0, 2), row("c", "A", 0), row("c", "C", 9), row("d", "A", 0, 9)], cols)
+    batch = spark.createDataFrame([row("a", "A", 3), row("a", "A", 8), row("b", "A", 8), row("c", "A", 4), row("c", "B", 6), row("d", "A", 8)], cols)
+    got = {(r.hub, r.hash_diff, r.valid_start) for r in history.append(stored, batch).collect()}
+    assert got == {("a", "A", at(3)), ("a", "A", at(8)), ("b", "A", at(8)), ("c", "B", at(6))}
