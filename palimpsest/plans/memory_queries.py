@@ -387,7 +387,7 @@ def extraction_quality(spark, d):
 
 def alias_resolution(spark, d):
     names = table(spark, d, "triples").filter("subject is not null").select(F.col("subject").alias("name"))
-    return X.resolve_aliases(names, table(spark, d, "concepts"), 1)
+    return X.resolve_aliases(names, table(spark, d, "concepts"), X.ALIAS_DISTANCE)
 
 
 def observed_batch(spark, d):

@@ -205,3 +205,11 @@ def test_surprise_at_full_width(spark, recall_folder):
         s = min((float((x != v[i]).mean()) for x in v[max(0, i - 64) : i]), default=1.0) if bundle(r[1]) is not None else 0.0
         want[r[0]] = (round(s, 6), s >= 0.4)
     assert {r.id: (r.surprise, r.promoted) for r in rows(spark, d, "surprise_scores")} == want
+
+
+def test_aliases_within_three_edits(spark, tmp_path):
+    names = ["Alexandre Stones", "Alexander Stne", "Margaret Hxll", "Alexandra S", "ALEXANDRA STONE"]
+    spark.createDataFrame([(n,) for n in names], "subject string").write.parquet(f"{tmp_path}/triples.parquet")
+    spark.createDataFrame([(1, "Alexandra Stone"), (2, "Margaret Hill"), (3, "Margaret Hall")], "id long, canonical_name string").write.parquet(f"{tmp_path}/concepts.parquet")
+    got = {r.name: (r.concept_id, r.how) for r in rows(spark, str(tmp_path), "alias_resolution")}
+    assert got == {"Alexandre Stones": (1, "fuzzy"), "Alexander Stne": (1, "fuzzy"), "ALEXANDRA STONE": (1, "lower"), "Alexandra S": (4, "new"), "Margaret Hxll": (5, "new")}
