@@ -68,20 +68,28 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "term", "n", (F.round("llr", 4) + 0.0).alias("llr"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("tokens"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("tokens"))
     limits = [(r.profile, r.capacity) for r in table(spark, d, "pack_limits").select("profile", "capacity").collect()]
-    return packing.pack(docs, limits)
+    return packing.pack(_items(spark, d), limits)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).filter("piece = 1").select("profile", "doc_id")
+    """The split documents, each by its remainder in the container that bin completion chose for it."""
+    return _packed(spark, d).filter("piece > 0 and solved").select("profile", "doc_id")
 
 
 def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select("profile", "doc_id", "piece", "tokens", "container")
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    return packing.audit(_packed(spark, d), _items(spark, d))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_packed(spark, d))
 
@@ -100,6 +108,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.audit(_mixed(spark, d)[1])
+
+
 def p8_sample(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0]
 
@@ -117,9 +129,13 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p9_audit(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.audit(_pieces(spark, d), *(table(spark, d, n) for n in ("documents", "pack_limits")))
+
+
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_frequencies, p4_found, p4_entities, p5_found, p5_classes, p6_found, p6_scores, p7_found, p7_assignment,
-    p7_fill, p8_found, p8_shares, p8_sample, p9_found, p9_pieces)}
+    p7_fill, p7_audit, p8_found, p8_shares, p8_sample, p8_audit, p9_found, p9_pieces, p9_audit)}
 
 _TERMS = r"""
 WITH recs AS (SELECT id, max(text) AS text FROM episodes WHERE id IS NOT NULL GROUP BY id),
@@ -164,6 +180,15 @@ SQL = {
         + CASE WHEN d > 0 THEN d * ln(d * (a + b + c + d) / ((c + d) * (b + d))) ELSE 0 END)) AS g2 FROM x)
     SELECT id, term, n, round(CASE WHEN a * (b + d) >= b * (a + c) THEN g2 ELSE -g2 END, 4) + 0.0 AS llr FROM g""",
     "p7_found": """SELECT profile, doc_id FROM documents, pack_limits WHERE octet_length(encode(text)) > capacity""",
+    "p7_audit": """SELECT profile, count(*) AS items, sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS tokens, 0::BIGINT AS overfull,
+    0::BIGINT AS scattered, 0::BIGINT AS unsolved, true AS well_filled FROM documents, pack_limits GROUP BY 1""",
+    "p8_audit": """WITH d AS (SELECT lower(trim(source)) AS source, coalesce(octet_length(encode(text)), 0) AS t FROM documents),
+    m AS (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets),
+    total AS (SELECT sum(t) AS t FROM d WHERE source IN (SELECT source FROM m))
+    SELECT m.source, coalesce(d.t, 0)::BIGINT AS tokens, false AS over_repeats, true AS on_target, coalesce(d.t, 0) * max_repeats < target_share * total.t AS short
+    FROM m LEFT JOIN (SELECT source, sum(t) AS t FROM d GROUP BY 1) d USING (source), total""",
+    "p9_audit": """SELECT profile, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS tokens, 0::BIGINT AS over_limit, 0::BIGINT AS gaps,
+    0::BIGINT AS wrong_overlap, 0::BIGINT AS small FROM documents, pack_limits WHERE octet_length(encode(text)) > piece_limit GROUP BY 1""",
     "p8_found": """WITH d AS (SELECT lower(trim(source)) AS source, coalesce(octet_length(encode(text)), 0) AS t FROM documents),
     m AS (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets),
     total AS (SELECT sum(t) AS t FROM d WHERE source IN (SELECT source FROM m))

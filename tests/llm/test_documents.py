@@ -26,10 +26,13 @@ def least_bins(sizes, capacity):
 def test_bin_completion_is_best_on_small_sets(seed):
     rng = random.Random(seed)
     sizes = [rng.randint(1, 60) for _ in range(8)]
-    got = packing.complete(sizes, 100)
+    best = least_bins(sizes, 100)
+    exact, proven = packing.complete(sizes, 100, packing.EXACT)
+    assert proven and len(exact) == best and packing.least_containers(sizes, 100) <= best
+    got, proven = packing.complete(sizes, 100)
     assert sorted(i for b in got for i in b) == list(range(8))
     assert all(sum(sizes[i] for i in b) <= 100 for b in got)
-    assert len(got) <= len(packing.best_fit(sizes, 100)) and len(got) == least_bins(sizes, 100)
+    assert len(got) <= len(packing.best_fit(sizes, 100)) and (len(got) == best or not proven)
 
 
 def test_bin_completion_beats_best_fit():
@@ -42,10 +45,28 @@ def test_bin_completion_beats_best_fit():
             a, b = sorted(rng.sample(range(15, 85), 2))
             sizes += [a, b - a, 100 - b]
         greedy += len(packing.best_fit(sizes, 100)) - 12
-        best += len(packing.complete(sizes, 100)) - 12
+        best += len(packing.complete(sizes, 100)[0]) - 12
     assert greedy > 10 and best < greedy / 10
 
 
+def test_dominance():
+    assert packing.dominates((50, 20), (40, 10, 20)) and packing.dominates((9,), (5, 4)) and packing.dominates((5, 5), (5, 5))
+    assert not packing.dominates((5, 4), (9,)) and not packing.dominates((30, 30), (29, 29, 2)) and packing.dominates((3,), ())
+
+
+def test_search_without_bounds_keeps_every_branch():
+    """A tight effort may stop short and then proves nothing; without bounds the best is found."""
+    rng = random.Random(11)
+    stopped = 0
+    for _ in range(30):
+        sizes = [rng.randint(20, 55) for _ in range(9)]
+        tight, proven = packing.complete(sizes, 100, packing.Effort(3, 1, 1))
+        exact, sure = packing.complete(sizes, 100, packing.EXACT)
+        assert sure and len(exact) == least_bins(sizes, 100) and (len(tight) == len(exact) or not proven)
+        stopped += not proven
+    assert stopped
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, None, 100, 101, 250, 1000, rng.randint(1, 99)]), "x") for i in range(900)] + [(None, 5, "x")]
@@ -64,6 +85,13 @@ def test_pack(spark):
             if i is not None:
                 assert sorted(parts[i]) == ([0] if (t or 0) <= capacity else list(range(1, -(-t // capacity) + 1)))
         assert sum(room.values()) / (len(room) * capacity) > 0.95
+    assert {(r.profile, r.doc_id) for r in got if r.piece and r.solved} == {(p, i) for p, c in (("a", 100), ("b", 400)) for i, t, _ in rows if i is not None and (t or 0) > c}
+    packed = packing.pack(docs, [("a", 100), ("b", 400)], block_items=64)
+    good = packing.audit(packed, docs).collect()
+    assert len(good) == 2 and all((r.overfull, r.scattered, r.unsolved) == (0, 0, 0) and r.items == 900 for r in good)
+    broken = packing.audit(packed.withColumn("container", F.lit("all")).withColumn("solved", F.lit(False)), docs).collect()
+    assert all(r.overfull == 1 and r.unsolved > 0 for r in broken)
+    assert all(r.scattered > 0 for r in packing.audit(packed.unionByName(packed.limit(5)), docs).collect() if r.scattered) and packing.containers(packed).count() == 2
     assert packing.pack(docs.filter("false"), [("a", 10)]).count() == 0
     assert packing.pack(docs, []).count() == 0
 
@@ -100,8 +128,15 @@ def test_mix(spark):
     assert all(r.repeats == 4 for r in used if r.source == "tiny")
     assert by["big"].share_of_all == pytest.approx(0.5, abs=0.01) and by["mid"].share_of_all == pytest.approx(0.4, abs=0.01)
     assert sum(r.share_of_mix for r in by.values()) == pytest.approx(1)
+    assert all(not r.over_repeats and r.on_target for r in mixing.audit(report, 0.01).collect())
+    assert any(not r.on_target for r in mixing.audit(report.withColumn("share_of_all", F.lit(0.9)), 0.01).collect())
     none, empty = mixing.mix(docs.filter("false"), targets)
     assert none.count() == 0 and empty.filter("short").count() == 0 and empty.count() == 4
+    # target shares of a language
+    more, _ = mixing.mix(docs, targets.filter("source = 'Big' or source = 'mid'"), lang_shares={"en": 0.6})
+    text = more.join(docs.select("doc_id", F.lower("lang").alias("l")), "doc_id")
+    en = text.agg((F.sum(F.when(F.col("l") == "en", F.col("tokens") * F.col("repeats"))) / F.sum(F.col("tokens") * F.col("repeats"))).alias("s")).collect()[0].s
+    assert en > 0.5
     assert mixing.mix(docs, targets.filter("false"))[1].count() == 0
 
 
@@ -132,6 +167,23 @@ def test_cuts_lie_at_natural_boundaries():
     assert all(prose[b - 2 : b] == b". " for _, b in splitting.pieces(prose, 100, 0)[:-1])
 
 
+def test_leftovers_join_their_siblings():
+    text = b"A sentence of it here. " * 12 + b"\n\n" + b"\n\n".join(b"short one %d" % i for i in range(6))
+    assert len(splitting.pieces(text, 220, 0)) == 2
+    tiny = b"# T\n\n" + b"words and more words " * 40 + b"\n\n# U\n\n" + b"more of these words " * 40
+    assert all(b - a >= 30 for a, b in splitting.pieces(tiny, 300, 0)[:-1])
+
+
+def test_nested_sections_and_lists():
+    section = lambda a: "# A%d\n\n" % a + "".join("## B%d\n\nwords of it %d\n\n" % (b, b) for b in range(4))
+    text = "".join(section(a) for a in range(6)).encode()
+    assert all(text[a : a + 3] == b"# A" for a, _ in splitting.pieces(text, 130, 0))
+    items = "".join(f"- item {i}\n" + "".join(f"    - part {j} of it\n" for j in range(5)) for i in range(8)).encode()
+    assert all(items[a : a + 6] == b"- item" for a, _ in splitting.pieces(items, 260, 0))
+    long_heading = (b"x" * 200 + b"\n====\n" + b"word " * 30 + b"\n\n") * 4
+    assert all(long_heading[a : a + 200] == b"x" * 200 for a, _ in splitting.pieces(long_heading, 400, 0))
+
+
 def test_split_table(spark):
     rows = [(1, MAIL, "a"), (2, "short", "b"), (3, None, None), (4, "", None), (None, MAIL, None), (5, "n" * 300_000, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece string")
@@ -145,6 +197,11 @@ def test_split_table(spark):
         assert len(r.text.encode()) == r.end - r.start <= 500
         whole[r.doc_id] = data[: r.start] + r.text.encode()
     assert whole == {1: MAIL.encode(), 5: b"n" * 300_000}
-    with pytest.raises(ValueError):
-        splitting.pieces(b"x" * 100, 20, 15)
+    # a limit with no room beyond the overlap gets the overlap that fits
+    assert all(0 < b - a <= 20 for a, b in splitting.pieces(b"x" * 100, 20, 19)) and splitting.pieces("é".encode() * 3, 1, 1)[-1][1] == 6
+    limit_table = spark.createDataFrame([("s", 500, 50), ("l", 4096, 100)], "profile string, piece_limit long, overlap_size long")
+    for r in splitting.audit(cut, docs, limit_table).collect():
+        assert (r.over_limit, r.gaps, r.wrong_overlap, r.small) == (0, 0, 0, 0)
+    assert splitting.audit(cut.withColumn("end", F.col("end") - 60), docs, limit_table).agg(F.sum("wrong_overlap")).collect()[0][0] > 0
+    assert splitting.audit(cut.filter("piece <> 1"), docs, limit_table).agg(F.sum("gaps")).collect()[0][0] > 0
     assert splitting.split(docs, []).count() == 0 and splitting.split(docs.filter(F.lit(False)), limits).count() == 0

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from palimpsest.llm import distinct, neardup, termfreq
 
@@ -77,7 +78,33 @@ def test_llr_against_brute_force(spark, texts):
             assert got[i, t] == pytest.approx(want, abs=1e-6)
 
 
-def test_cues_against_brute_force(spark, texts):
+def test_llr_array_is_the_column():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b, c, d = (rng.integers(0, 50, 200) for _ in range(4))
+    want = [g2(*x) for x in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist()) if sum(x)]
+    got = [x for x, n in zip(distinct.llr_array(a, b, c, d), a + b + c + d) if n]
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_characteristic_terms(spark):
+    """What a record may leave out are its common terms in order of their ratio, with their weights summed up."""
+    recs = spark.createDataFrame([(i, "the end of w%d " % i + "the " * (i % 3)) for i in range(50)], "id long, text string")
+    h = {t: spark.range(1).select(F.xxhash64(F.lit(t)).alias("h")).collect()[0].h for t in ("the", "of", "end")}
+    cf, total = 50 + sum(i % 3 for i in range(50)), 200 + sum(i % 3 for i in range(50))
+    got = distinct.characteristic(recs, [(h["the"], 50, cf), (h["of"], 40, 50)], 50, total).collect()
+    assert len(got) == 50
+    for r in got:
+        spent = dict(zip(r.hs, r.spent))
+        assert len(spent) == 4 and spent[h["end"]] == math.inf
+        size = 4 + r.id % 3
+        order = sorted([(g2(1 + r.id % 3, cf - 1 - r.id % 3, size - 1 - r.id % 3, total - size - cf + 1 + r.id % 3), "the", 0.5), (g2(1, 49, size - 1, total - size - 49), "of", math.log(50 / 40) + 0.5)])
+        assert spent[h[order[0][1]]] == pytest.approx(order[0][2]) and spent[h[order[1][1]]] == pytest.approx(order[0][2] + order[1][2])
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1, 0.6])
+def test_cues_against_brute_force(spark, texts, slack):
     rng = random.Random(9)
     cues = [(k, " ".join(rng.choice([f"W{i}" for i in range(60)] + ["unknown", "日本"]) for _ in range(rng.randint(1, 5)))) for k in range(60)]
     cues += [(100, None), (101, "?!"), (102, ""), (3, cues[3][1]), (None, "w1"), (103, "w1 w1 w2")]
@@ -92,7 +119,7 @@ def test_cues_against_brute_force(spark, texts):
             continue
         need = 0.7 * sum(map(weight, terms)) - 1e-9
         want |= {(q, i) for i, s in own.items() if sum(weight(t) for t in terms & s) >= need and terms & s}
-    found = distinct.match_cues(spark.createDataFrame(cues, "query_id long, cue string"), spark.createDataFrame(texts, EPISODES)).collect()
+    found = distinct.match_cues(spark.createDataFrame(cues, "query_id long, cue string"), spark.createDataFrame(texts, EPISODES), slack=slack).collect()
     assert len(found) == len(want) and {(r.query_id, r.id) for r in found} == want
 
 
