@@ -1,14 +1,17 @@
 """Near-duplicate records by a token-group matrix.
 
 Records with the same set of terms are one class; classes that agree in several min-hashes
-are put into groups of bounded size. The matrix has a row of bits per group, the union of
-the terms of its members hashed to columns, and the least and largest size of a member. The
-terms of a query class whose columns are empty in a row are missing from every member, so
-their number bounds the similarity to the whole group, and groups that cannot hold a partner
-are never opened. Rows of the matrix are looked up by the rarest terms of the query: of the
-terms that a partner may lack, plus two, any partner shares two, so it shares a rare one of
-them or a pair of common ones. Opened groups are compared by whole term sets in integers;
-no estimate decides, and no pair is lost.
+are put into groups of bounded size. The matrix has a row per group: the union of the terms
+of its members, and the least and largest size of a member. What a query class has of the
+union bounds what it can share with any member, so groups that hold too little of it are
+never opened. The bound is taken in two steps: first on 512 bits, to which the columns of
+the matrix are hashed, then on the union itself.
+
+A pair is looked for from its larger side, among groups with members no larger. With a
+shared order of terms from rare to common, the larger class and the union of the groups'
+members then share two terms among the first few of each (see `lookup_keys`): the columns
+of the matrix are read only there, a rare one alone, common ones in pairs. Opened groups
+are compared by whole term sets in integers; no estimate decides, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from palimpsest.llm.termfreq import records
 
 #: Buckets of the term-frequency sketch that fixes the order of terms; its size never grows with the data.
 SKETCH_BUCKETS = 1 << 18
-#: A term in more classes than this is common and looked up only together with a second one.
-COMMON = 512
+#: A term in more classes than this, or than CROWDED times the mean of all buckets, is common and looked up only together with a second one.
+COMMON, CROWDED = 512, 4
 #: Sets of more terms are looked up by single terms, as their pairs would be too many.
 LONG_SET = 384
 #: 64-bit words of a row of the matrix.
@@ -40,6 +43,7 @@ BITS = [f"b{i}" for i in range(ROW_WORDS)]
 #: Keys that more than this many classes share are spread over several tasks; at most so many such keys.
 HOT_KEY, MAX_HOT_KEYS, SALTS = 2_000, 4_096, 16
 
+
 def classes(recs: DataFrame, min_terms: int) -> tuple[DataFrame, DataFrame]:
     """(class_id, n, hs) per distinct term set of at least `min_terms`, and membership (class_id, id)."""
     hs = F.array_sort(F.transform(distinct_terms("text"), lambda t: F.xxhash64(t)))
@@ -68,29 +72,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def lookup_keys(ordered: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set whose terms come from rare to common: two sets that share enough terms share a key.
+def _least_shared(n: int, percent: int) -> int:
+    """Terms that a set of n terms shares at least with a similar set that is no smaller: half the least sum of both, by similarity."""
+    return -(-2 * percent * n // (100 + percent))
+
+
+def _keys(ordered: np.ndarray, common: np.ndarray, shared: int, single: bool, paired: bool) -> np.ndarray:
+    n, keys = len(ordered), []
+    if paired:
+        head = ordered[: n - shared + 2]
+        often = common[: len(head)]
+        pairs = head[often].view(np.uint64)
+        i, j = np.triu_indices(len(pairs), 1)
+        keys += [head[~often], _mix(_mix(pairs[i]) + pairs[j]).view(np.int64)]
+    if single:
+        keys.append(ordered[: n - shared + 1])
+    return np.unique(np.concatenate(keys))
+
+
+def lookup_keys(ordered: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(asked, listed): keys of a set, whose terms come from rare to common, as the larger and as the smaller one of a pair.
 
-    Of any two such sets of at most LONG_SET terms, each has two shared terms among all but ceil(percent % of n) of
-    its terms plus two, in the common order. Single keys stand for the rare ones of these, pair keys for the common
-    ones. A set that may meet a longer one, looked up by single terms, also has its keys.
+    Two sets that share s terms have l of them among all but s - l of each in the common order. The larger set of a pair
+    shares at least `percent` % of its own terms, the smaller one more of its own, so it lists few. With l = 2 both
+    terms are in both heads: a rare one is a key by itself, two common ones are a key together. Pairs with a set of more
+    than LONG_SET terms go by single terms, l = 1, as their pairs would be too many.
     """
     n = len(ordered)
-    keep = n - -(-n * percent // 100) + 1
-    keys = []
-    if n <= LONG_SET:
-        head, c = ordered[: keep + 1], counts[: keep + 1]
-        common = head[c > COMMON].view(np.uint64)
-        i, j = np.triu_indices(len(common), 1)
-        keys += [head[c <= COMMON], _mix(_mix(common[i]) + common[j]).view(np.int64)]
-    if n * 100 // percent >= LONG_SET:
-        keys.append(ordered[:keep])
-    return np.unique(np.concatenate(keys))
+    asked = _keys(ordered, common, -(-n * percent // 100), n > LONG_SET, n <= LONG_SET)
+    listed = _keys(ordered, common, _least_shared(n, percent), n * 100 // percent >= LONG_SET, n <= LONG_SET)
+    return asked, listed
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(k) for k in parts])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
 
 
 def shaped(sets: DataFrame, percent: int) -> DataFrame:
-    """Adds `keys` (see lookup_keys), the columns of the set in a row of the matrix, and `seed`, under which similar sets meet."""
-    sketch = sets.sparkSession.sparkContext.broadcast(_sketch(sets))
+    """Adds `asked` and `listed` (see lookup_keys), the columns of the set in a row of bits, and `seed`, under which similar sets meet."""
+    counts = _sketch(sets)
+    sketch = sets.sparkSession.sparkContext.broadcast(counts)
+    often = max(COMMON, CROWDED * int(counts.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -104,8 +127,8 @@ def shaped(sets: DataFrame, percent: int) -> DataFrame:
             row = np.repeat(np.arange(len(lens)), lens)
             order = np.lexsort((terms, counts[terms % SKETCH_BUCKETS], row))
             ordered = terms[order]
-            c = counts[ordered % SKETCH_BUCKETS]
-            keys = [lookup_keys(ordered[s : s + n], c[s : s + n], percent) for s, n in zip(starts, lens)]
+            common = counts[ordered % SKETCH_BUCKETS] > often
+            keys = [lookup_keys(ordered[s : s + n], common[s : s + n], percent) for s, n in zip(starts, lens)]
             mixed = _mix(terms.view(np.uint64))
             column = (mixed % np.uint64(64 * ROW_WORDS)).astype(np.int64)
             bits = np.zeros((len(lens), ROW_WORDS), dtype=np.uint64)
@@ -118,14 +141,13 @@ def shaped(sets: DataFrame, percent: int) -> DataFrame:
             seed = np.floor(2 * np.log2(lens)).astype(np.uint64)
             for factor in MIN_HASHES:
                 seed = _mix(seed + np.minimum.reduceat(_mix(head * np.uint64(factor)), heads))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            key_lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("class_id"), b.column("n"), hs, key_lists, pa.array(seed.view(np.int64)), *(pa.array(bits[:, i].view(np.int64)) for i in range(ROW_WORDS))],
-                ["class_id", "n", "hs", "keys", "seed", *BITS],
-            )
+                [b.column("class_id"), b.column("n"), hs, _lists([k[0] for k in keys]), _lists([k[1] for k in keys]), pa.array(seed.view(np.int64)),
+                 *(pa.array(bits[:, i].view(np.int64)) for i in range(ROW_WORDS))],
+                ["class_id", "n", "hs", "asked", "listed", "seed", *BITS],
+            )
 
-    schema = "class_id long, n int, hs array<long>, keys array<long>, seed long, " + ", ".join(f"{c} long" for c in BITS)
+    schema = "class_id long, n int, hs array<long>, asked array<long>, listed array<long>, seed long, " + ", ".join(f"{c} long" for c in BITS)
     return sets.select("class_id", "n", "hs").mapInArrow(run, schema)
 
 
@@ -141,38 +163,41 @@ def similar_classes(sets: DataFrame, percent: int = 75, group_size: int = 16) ->
     """(class_a, class_b, shared, united): pairs of classes, class_a < class_b, that share at least `percent` % of their terms."""
     docs = grouped(shaped(sets, percent), group_size).persist(StorageLevel.DISK_ONLY)
     matrix = docs.groupBy("g").agg(
-        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.min("n").alias("n_min"), F.max("n").alias("n_max"),
-        F.max("class_id").alias("last"), *(F.expr(f"bit_or({c})").alias(f"u{c}") for c in BITS),
+        F.array_distinct(F.flatten(F.collect_list("listed"))).alias("listed"), F.min("n").alias("n_min"), F.max("n").alias("n_max"),
+        *(F.expr(f"bit_or({c})").alias(f"u{c}") for c in BITS),
     )
-    rows = matrix.select("g", "n_min", "n_max", "last", *(f"u{c}" for c in BITS), F.explode("keys").alias("h"))
-    asked = docs.select("class_id", "n", *BITS, F.explode("keys").alias("h"))
+    rows = matrix.select("g", "n_min", "n_max", *(f"u{c}" for c in BITS), F.explode("listed").alias("h"))
+    asked = docs.select("class_id", "n", *BITS, F.explode("asked").alias("h"))
     # keys of many classes, found in every sixteenth class, are dealt out; what is found does not depend on it
-    seen = docs.filter(F.pmod(F.xxhash64("class_id"), F.lit(16)) == 0).select(F.explode("keys").alias("h")).groupBy("h").count()
+    seen = docs.filter(F.pmod(F.xxhash64("class_id"), F.lit(16)) == 0).select(F.explode("asked").alias("h")).groupBy("h").count()
     hot = F.broadcast(seen.filter(F.col("count") > HOT_KEY // 16).orderBy(F.desc("count"), "h").limit(MAX_HOT_KEYS).select("h", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     asked = asked.join(hot, "h", "left").withColumn("salt", salt).drop("hot")
     rows = rows.join(hot, "h", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    missing = reduce(lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(F.col(f"u{c}")))) for c in BITS])
-    fits = (
-        (F.col("class_id") < F.col("last")) & (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_min") * percent)
-        & (missing * 100 <= F.col("n") * (100 - percent))
-    )
-    pairs = asked.join(rows, ["h", "salt"]).filter(fits).select("class_id", "g").distinct()
-    # an opened group is compared by the members' own columns first, so only likely partners move their terms
-    q = docs.select("class_id", F.col("n").alias("qn"), *(F.col(c).alias(f"q{c}") for c in BITS))
-    members = docs.select("g", F.col("class_id").alias("class_b"), "n", *BITS)
     lone = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in BITS])
-    near = (
-        (F.col("class_id") < F.col("class_b")) & (F.col("n") * 100 >= F.col("qn") * percent) & (F.col("qn") * 100 >= F.col("n") * percent)
-        & (lone("q", "") * 100 <= F.col("qn") * (100 - percent)) & (lone("", "q") * 100 <= F.col("n") * (100 - percent))
+    # of n terms and m or more on the other side, a similar pair shares percent / (100 + percent) of the sum
+    enough = lambda have, n, m: have * (100 + percent) >= (n + m) * percent
+    least = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / 100).cast("int"))
+    sizes = (F.col("n_min") <= F.col("n")) & (F.col("n_max") * 100 >= F.col("n") * percent)
+    pairs = asked.join(rows, ["h", "salt"]).filter(sizes & enough(F.col("n") - lone("", "u"), F.col("n"), least)).select("class_id", "g").distinct()
+    # the bound on the token union of the group; that of a single member is the member, which is compared below
+    query = docs.select("class_id", F.col("n").alias("qn"), F.col("hs").alias("qs"), *(F.col(c).alias(f"q{c}") for c in BITS))
+    unions = docs.groupBy("g").agg(
+        F.count("*").alias("in_group"), F.min("n").alias("n_min"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("tokens")
+    ).filter("in_group > 1")
+    held = F.size(F.array_intersect("qs", "tokens"))
+    opened = pairs.join(query, "class_id").join(unions, "g", "left").filter(F.col("tokens").isNull() | enough(held, F.col("qn"), F.greatest(F.col("n_min"), F.ceil(F.col("qn") * percent / 100).cast("int"))))
+    # an opened group is compared by the members' own bits first, then by whole term sets
+    members = docs.select("g", F.col("class_id").alias("member"), "n", "hs", *BITS)
+    m = opened.select("g", "class_id", "qn", "qs", *(f"q{c}" for c in BITS)).join(members, "g")
+    m = m.filter(
+        ((F.col("n") < F.col("qn")) | ((F.col("n") == F.col("qn")) & (F.col("member") < F.col("class_id")))) & (F.col("n") * 100 >= F.col("qn") * percent)
+        & enough(F.col("qn") - lone("q", ""), F.col("qn"), F.col("n")) & enough(F.col("n") - lone("", "q"), F.col("qn"), F.col("n"))
     )
-    likely = pairs.join(q, "class_id").join(members, "g").filter(near).select(F.col("class_id").alias("class_a"), "class_b", "qn", "n")
-    terms_a = docs.select(F.col("class_id").alias("class_a"), F.col("hs").alias("ha"))
-    terms_b = docs.select(F.col("class_id").alias("class_b"), F.col("hs").alias("hb"))
-    m = likely.join(terms_a, "class_a").join(terms_b, "class_b")
-    m = m.withColumn("shared", F.size(F.array_intersect("ha", "hb"))).withColumn("united", F.col("qn") + F.col("n") - F.col("shared"))
-    return m.filter(F.col("shared") * 100 >= F.col("united") * percent).select("class_a", "class_b", "shared", "united")
+    m = m.withColumn("shared", F.size(F.array_intersect("qs", "hs"))).withColumn("united", F.col("qn") + F.col("n") - F.col("shared"))
+    both = F.least("class_id", "member").alias("class_a"), F.greatest("class_id", "member").alias("class_b")
+    return m.filter(F.col("shared") * 100 >= F.col("united") * percent).select(*both, "shared", "united")
 
 
 def near_duplicates(episodes: DataFrame, percent: int = 75, min_terms: int = 12, group_size: int = 16) -> tuple[DataFrame, DataFrame]:
