@@ -4,7 +4,7 @@ Records with the same set of terms are one class; classes that agree in several
 are put into groups of bounded size. The matrix has a row per group: the union of the terms
 of its members, and the least and largest size of a member. What a query class has of the
 union bounds what it can share with any member, so groups that hold too little of it are
-never opened. The bound is taken in two steps: first on 512 bits, to which the columns of
+never opened. The bound is taken in two steps: first on 256 bits, to which the columns of
 the matrix are hashed, then on the union itself.
 
 A pair is looked for from its larger side, among groups with members no larger. With a
@@ -17,7 +17,7 @@ are compared by whole term sets in integers; no estimate decides, and no pair is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ COMMON, CROWDED = 512, 4
 #: Sets of more terms are looked up by single terms, as their pairs would be too many.
 LONG_SET = 384
 #: 64-bit words of a row of the matrix.
-ROW_WORDS = 8
+ROW_WORDS = 4
 #: Odd factors of the min-hashes in which the classes of a group agree.
 MIN_HASHES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BITS = [f"b{i}" for i in range(ROW_WORDS)]
@@ -77,17 +77,22 @@ def _least_shared(n: int, percent: int) -> int:
     return -(-2 * percent * n // (100 + percent))
 
 
+@lru_cache(maxsize=4096)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _keys(ordered: np.ndarray, common: np.ndarray, shared: int, single: bool, paired: bool) -> np.ndarray:
     n, keys = len(ordered), []
     if paired:
         head = ordered[: n - shared + 2]
         often = common[: len(head)]
         pairs = head[often].view(np.uint64)
-        i, j = np.triu_indices(len(pairs), 1)
+        i, j = _pairs(len(pairs))
         keys += [head[~often], _mix(_mix(pairs[i]) + pairs[j]).view(np.int64)]
     if single:
         keys.append(ordered[: n - shared + 1])
-    return np.unique(np.concatenate(keys))
+    return np.concatenate(keys) if not (single and paired) else np.unique(np.concatenate(keys))
 
 
 def lookup_keys(ordered: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
