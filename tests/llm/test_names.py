@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import names
 
@@ -30,6 +31,31 @@ def test_readings(spark):
     assert not {k for k in NONE if k in got}
 
 
+MORE_PEOPLE = [(1, "Maria van der Berg", "person"), (2, "Mary Ann Smith", "person"), (3, "Jose Garcia Lopez", "person"), (4, "John Smith", "person"), (5, "Evangelina Marchetti", None)]
+MORE_FIRMS = [(10, "Nokia", "organization"), (11, "Womabel Logistics", None), (12, "Kallistrate Foods", None)]
+ANY = {
+    "van der Berg, Maria": 1, "Maria van der Bergh": 1, "van der Berg Maria": 1, "M. van der Berg": 1, "Mary A. Smith": 2, "Mary Smith": 2, "Smith, Mary Ann": 2,
+    "Jose Garcia Lopes": 3, "García López, José": 3, "J.R. Smith": 4, "Jonh Smith": 4, "Nokia Inc": 10, "The Nokia Ltd.": 10, "Womabel Log. Inc.": 11, "The Womabel Logistics Inc": 11,
+    "Womabel Logistics Ltd": 11, "Womabel Logistcis Ltd": 11, "Evangelins Marchetty": 5, "Evangelina Marchetti": 5, "Kalistrate Food": 12, "Marchetti Evangelna": 5,
+}
+
+
+def test_any_number_of_parts_and_edits_anywhere(spark):
+    refs = spark.createDataFrame(MORE_PEOPLE + MORE_FIRMS, "entity long, name string, kind string")
+    df = spark.createDataFrame([(s, 1) for s in [*ANY, "Nokla", "Maria Berg", "Mary Lou Smith"]], "name string, n long")
+    got = {r.name: r.entity for r in names.link(df, refs).collect()}
+    assert {k: got.get(k) for k in ANY} == ANY
+    assert not {"Nokla", "Maria Berg", "Mary Lou Smith"} & set(got)
+
+
+def test_hot_keys_and_empty_lexicon(spark, monkeypatch):
+    refs = spark.createDataFrame([(i, f"John Mar{chr(97 + i // 26)}{chr(97 + i % 26)}son", "person") for i in range(300)], "entity long, name string, kind string")
+    df = refs.select(F.concat(F.lit("J. "), F.substring_index("name", " ", -1)).alias("name"), F.lit(1).alias("n"))
+    want = {r.name: r.entity for r in names.link(df, refs).collect()}
+    monkeypatch.setattr(names, "HOT_REFERENCES", 0)
+    assert len(want) == 300 and {r.name: r.entity for r in names.link(df, refs, 2, names.Lexicon.empty()).collect()} == want
+
+
 def test_nulls_and_empty(spark):
     refs = spark.createDataFrame([(1, None, None), (2, "Ann Lee", None)], "entity long, name string, kind string")
     none = spark.createDataFrame([], "name string, n long")
@@ -46,16 +72,19 @@ def test_pairs(spark):
 
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_segments_miss_nothing(k):
+    """Any name within k edits of a reference, wherever they lie, shares a key with it."""
     rng = random.Random(k)
     for _ in range(1500):
-        a = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))
-        b = list(a)
+        parts = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(2)]
+        changed = [list(x) for x in parts]
         for _ in range(rng.randint(0, k)):
+            b = rng.choice(changed)
             at, what = rng.randrange(len(b) + 1), rng.choice("isd")
             if what == "i":
                 b.insert(at, rng.choice("abcd"))
             elif b and at < len(b):
                 b[at : at + 1] = [rng.choice("abcd")] if what == "s" else []
-        if not b:
+        if not all(changed):
             continue
-        assert set(names.index_keys("x", a, k)) & set(names.lookup_keys("x", "".join(b), k))
+        head, tail = map("".join, changed)
+        assert set(names.keys("p", *parts, k, names.listed)) & set(names.keys("p", head, tail, k, names.asked))
