@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,30 @@ def local_session(cores: str | int = "*", memory: str = "8g", shuffle_partitions
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder of the session and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cut lineage that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    none is set (tests on one machine) a temporary one is made.
+    Only a local session may go without: a temporary folder is made. On a cluster no other machine could read that one.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder: its size is known to later plans, and columns are read as needed."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
