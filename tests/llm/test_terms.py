@@ -93,7 +93,7 @@ def test_characteristic_terms(spark):
     recs = spark.createDataFrame([(i, "the end of w%d " % i + "the " * (i % 3)) for i in range(50)], "id long, text string")
     h = {t: spark.range(1).select(F.xxhash64(F.lit(t)).alias("h")).collect()[0].h for t in ("the", "of", "end")}
     cf, total = 50 + sum(i % 3 for i in range(50)), 200 + sum(i % 3 for i in range(50))
-    got = distinct.characteristic(recs, [(h["the"], 50, cf), (h["of"], 40, 50)], 50, total).collect()
+    got = distinct.characteristic(distinct.hashed_terms(recs), [(h["the"], 50, cf), (h["of"], 40, 50)], 50, total).collect()
     assert len(got) == 50
     for r in got:
         spent = dict(zip(r.hs, r.spent))
