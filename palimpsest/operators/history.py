@@ -1,9 +1,14 @@
 """History of changing attributes: insert-only satellites with lead-based end dates.
 
-Each (subject, single-valued predicate) is one attribute of a hub entity. A
-satellite holds a row only where the hash of the value changes (or a stated end
-leaves a gap), nothing is ever updated, and the period of a version ends where
-the next version of the group begins, which a view finds with lead.
+Each (subject, single-valued predicate) is one attribute of a hub entity. Attributes
+that change often go to the fast satellite, the others to the slow one. A satellite gets
+a row only where the hash of the value changes (or a stated end leaves a gap); nothing
+is ever updated. A late row can make that an earlier row opens a version after all, or
+does so no longer: then a row with the new state is appended, and the view takes the
+newest state of each start. The period of a version ends where the next version of the
+group begins, which the view finds with lead. Rows that change nothing stay in the
+staging area, the observations loaded so far, against which later batches are ordered;
+so any division of the observations into batches gives the same history.
 
 Skew: a group (one subject and predicate) may hold any share of the rows. Groups
 above `hot_rows` are cut into consecutive time blocks at approximate quantiles
@@ -13,10 +18,13 @@ the last and first rows of the blocks are carried from one block to the next.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import norm
+from palimpsest.session import stored
 
 #: At most so many groups are cut into blocks, the largest first; any other group
 #: then has less than that part of all rows.
@@ -78,48 +86,117 @@ def _opens(before: Column) -> Column:
     return before.isNull() | (before["hash_diff"] != F.col("hash_diff")) | F.coalesce(ended, F.lit(False))
 
 
+def _in_blocks(rows: DataFrame, cut: DataFrame | None) -> DataFrame:
+    """Adds `block`: the time block of a row in a hot group, -1 in others. The cut points are few and of bounded size."""
+    if cut is None:
+        return rows.withColumn("block", F.lit(-1))
+    at = F.unix_micros(F.col("valid_start").cast("timestamp"))
+    block = F.when(F.col("cuts").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda x: x <= at)))
+    return rows.join(F.broadcast(cut), GROUP, "left").withColumn("block", block).drop("cuts")
+
+
+def _neighbour(rows: DataFrame, cut: DataFrame | None, value: Column, name: str, ahead: bool) -> DataFrame:
+    """Adds the value of the row before (or ahead) in order of valid_start; hot groups go block by block, only their edges are carried over."""
+    step = F.lead if ahead else F.lag
+    w = Window.partitionBy(*GROUP, "block").orderBy("valid_start")
+    out = rows.withColumn(name, step(value).over(w))
+    if cut is None:
+        return out
+    edge = F.min_by if ahead else F.max_by
+    over_blocks = Window.partitionBy(*GROUP).orderBy("block")
+    edges = rows.filter("block >= 0").groupBy(*GROUP, "block").agg(edge(value, "valid_start").alias("edge"))
+    carried = edges.select(*GROUP, "block", step("edge").over(over_blocks).alias("_carried"))
+    return out.join(carried, [*GROUP, "block"], "left").withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+
+
+OPENING = ("hash_diff", "valid_start", "valid_end")
+VERSION = [*GROUP, "triple_id", "object", "hash_diff", "valid_start", "valid_end", "t_tx_start"]
+
+
+def marked(rows: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """Adds `opens`: whether a row opens a version of its group. rows has one row per group and valid_start."""
+    x = _neighbour(_in_blocks(rows, cut), cut, F.struct(*OPENING), "before", False)
+    return x.withColumn("opens", _opens(F.col("before"))).drop("before", "block")
+
+
+def closed(versions: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """Adds closed_by and closed_at, the row that opens the next version of the group and its start; null for the open version."""
+    x = _neighbour(_in_blocks(versions.select(*VERSION), cut), cut, F.struct("triple_id", "valid_start"), "next", True)
+    return x.select(*VERSION, F.col("next.triple_id").alias("closed_by"), F.col("next.valid_start").alias("closed_at"))
+
+
 def satellites(obs: DataFrame, hot_rows: int = 20_000, blocks: int = 128) -> DataFrame:
-    """The versions of every attribute: one row for each change, with the row that closes it.
+    """The versions of every attribute in one go: one row for each change, with the row that closes it.
 
     Columns: hub, attribute, triple_id, object, hash_diff, valid_start, valid_end (as
     stated), t_tx_start, closed_by (null for the open version), closed_at.
 
     Empty input gives an empty result; groups of one row have one open version.
     """
-    rows = current_rows(obs)
     cut = hot_blocks(obs, hot_rows, blocks)
-    opening = F.struct(*(c for c in ("hash_diff", "valid_start", "valid_end")))
-    nxt = F.struct("triple_id", "valid_start")
-    if cut is None:
-        w = Window.partitionBy(*GROUP).orderBy("valid_start")
-        versions = rows.withColumn("before", F.lag(opening).over(w)).filter(_opens(F.col("before"))).drop("before")
-        versions = versions.withColumn("next", F.lead(nxt).over(w))
-    else:
-        # the cut points are few and of bounded size, see hot_blocks
-        at = F.unix_micros(F.col("valid_start").cast("timestamp"))
-        rows = rows.join(F.broadcast(cut), GROUP, "left").withColumn(
-            "block", F.when(F.col("cuts").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda x: x <= at)))
-        ).drop("cuts")
-        part = [*GROUP, "block"]
-        w = Window.partitionBy(*part).orderBy("valid_start")
-        over_blocks = Window.partitionBy(*GROUP).orderBy("block")
-        last = rows.filter("block >= 0").groupBy(*part).agg(F.max_by(opening, "valid_start").alias("last"))
-        carry = last.select(*part, F.lag("last").over(over_blocks).alias("carried"))
-        versions = (
-            rows.join(carry, part, "left")
-            .withColumn("before", F.coalesce(F.lag(opening).over(w), "carried"))
-            .filter(_opens(F.col("before")))
-            .drop("before", "carried")
-        )
-        first = versions.filter("block >= 0").groupBy(*part).agg(F.min_by(nxt, "valid_start").alias("first"))
-        ahead = first.select(*part, F.lead("first").over(over_blocks).alias("carried"))
-        versions = (
-            versions.join(ahead, part, "left").withColumn("next", F.coalesce(F.lead(nxt).over(w), "carried")).drop("carried", "block")
-        )
-    return versions.select(
-        *GROUP, "triple_id", "object", "hash_diff", "valid_start", "valid_end", "t_tx_start",
-        F.col("next.triple_id").alias("closed_by"), F.col("next.valid_start").alias("closed_at"),
-    )
+    return closed(marked(current_rows(obs), cut).filter("opens"), cut)
+
+
+def append(satellite: DataFrame | None, staged: DataFrame, batch: DataFrame | None, load: int, hot_rows: int = 20_000, blocks: int = 128) -> DataFrame:
+    """Rows to append to a satellite for one load: VERSION, opens and load.
+
+    staged holds all observations up to and with this load, batch those of the load (None: all are new). Only groups
+    that the batch touches are ordered. A row is appended where it begins to open a version, where the opening row of
+    its start is another one now, and (with opens false) where a stored row no longer opens one. Without a
+    satellite nothing is stored yet.
+    """
+    if batch is not None:
+        staged = staged.join(batch.select(*GROUP).distinct(), GROUP, "left_semi")
+    cut = hot_blocks(staged, hot_rows, blocks)
+    now = marked(current_rows(staged), cut).select(*VERSION, "opens")
+    if satellite is None:
+        return now.filter("opens").withColumn("load", F.lit(load))
+    known = newest(satellite).select(*GROUP, "valid_start", F.col("triple_id").alias("_id"), F.col("hash_diff").alias("_hash"), F.col("opens").alias("_opens"))
+    x = now.join(known, [*GROUP, "valid_start"], "left")
+    changed = F.when(F.col("opens"), ~F.coalesce("_opens", F.lit(False)) | (F.col("_id") != F.col("triple_id")) | (F.col("_hash") != F.col("hash_diff"))).otherwise(F.coalesce("_opens", F.lit(False)))
+    return x.filter(changed).select(*VERSION, "opens", F.lit(load).alias("load"))
+
+
+def newest(satellite: DataFrame) -> DataFrame:
+    """The state of each group and start after the last load that touched it."""
+    state = F.max_by(F.struct("triple_id", "object", "hash_diff", "valid_end", "t_tx_start", "opens"), "load").alias("s")
+    return satellite.groupBy(*GROUP, "valid_start").agg(state).select(*GROUP, "valid_start", "s.*")
+
+
+def view(parts: list[DataFrame], hot_rows: int = 20_000, blocks: int = 128) -> DataFrame:
+    """The history over stored satellites: newest states that open a version, each ended by the next one. Columns as in `satellites`."""
+    versions = reduce(DataFrame.unionByName, [newest(p).filter("opens") for p in parts])
+    return closed(versions, hot_blocks(versions, hot_rows, blocks))
+
+
+def assign(obs: DataFrame, fast_share: float = 0.5) -> list[str]:
+    """Attributes of the fast satellite: those with more than `fast_share` distinct values beyond the first per hub.
+
+    Attributes are predicates, few names whatever the data. What is left is slow.
+    """
+    values = obs.select(*GROUP, F.xxhash64("value").alias("v")).distinct().groupBy("attribute", "hub").agg(F.count("*").alias("n"))
+    rate = values.groupBy("attribute").agg(((F.sum("n") - F.count("*")) / F.count("*")).alias("rate"))
+    return sorted(r.attribute for r in rate.filter(F.col("rate") > fast_share).select("attribute").limit(100_000).collect())
+
+
+def load(batches: list[DataFrame], hot_rows: int = 20_000, blocks: int = 128, fast: list[str] | None = None, keep=stored) -> list[DataFrame]:
+    """The stored satellites (fast, slow) after the batches of observations, taken in turn.
+
+    Each load appends to both; `keep` writes what is appended as a table. The division of attributes is made once, by
+    the first batch, as rows are never moved; what it is does not change the history.
+    """
+    fast = assign(batches[0]) if fast is None else fast
+    is_fast = F.col("attribute").isin(fast) if fast else F.lit(False)
+    out: list[DataFrame] = []
+    for part in (is_fast, ~is_fast):
+        satellite, staged = None, None
+        for i, b in enumerate(batches):
+            own = b.filter(part)
+            staged = own if staged is None else staged.unionByName(own)
+            added = keep(append(satellite, staged, own if i else None, i, hot_rows, blocks))
+            satellite = added if satellite is None else satellite.unionByName(added)
+        out.append(satellite)
+    return out
 
 
 def periods(versions: DataFrame) -> DataFrame:
@@ -143,23 +220,3 @@ def change_rates(versions: DataFrame, fast_share: float = 0.5) -> DataFrame:
         .withColumn("rate", F.round((F.col("versions") - F.col("hubs")) / F.col("hubs"), 6))
         .withColumn("satellite", F.when(F.col("rate") > fast_share, "fast").otherwise("slow"))
     )
-
-
-def append(satellite: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of `batch` to append to a satellite: those that open a version after the row before them, stored or new.
-
-    Both have hub, attribute, hash_diff and valid_start, and valid_end where ends are stated. Nothing stored is rewritten.
-    A row that was left out as unchanged is not known to later batches: a late row before it, or its stated end,
-    makes a version in `satellites` on the whole that is not found here.
-    """
-    known = satellite.select(*GROUP, "hash_diff", "valid_start").distinct()
-    fresh = batch.join(known, [*GROUP, "hash_diff", "valid_start"], "left_anti").select(*batch.columns)
-    touched = satellite.join(fresh.select(*GROUP).distinct(), GROUP, "left_semi")
-    columns = [*GROUP, "hash_diff", "valid_start", *(["valid_end"] if "valid_end" in satellite.columns else [])]
-    both = fresh.withColumn("_new", F.lit(True)).unionByName(touched.select(*columns).withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    if "valid_end" not in both.columns:
-        both = both.withColumn("valid_end", F.lit(None).cast("timestamp_ntz"))
-    # a stored row with the same start comes before the new one, which corrects it
-    w = Window.partitionBy(*GROUP).orderBy("valid_start", "_new")
-    before = F.lag(F.struct("hash_diff", "valid_start", "valid_end")).over(w)
-    return both.withColumn("before", before).filter(F.col("_new") & _opens(F.col("before"))).select(*batch.columns)

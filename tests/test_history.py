@@ -68,21 +68,43 @@ def test_periods_rates_and_empty(spark):
     assert empty.count() == 0 and history.change_rates(empty).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "parts", "hot_rows"), [(1, 2, 10**6), (2, 4, 5), (3, 3, 20)])
+def test_any_division_into_batches_gives_the_same_history(spark, seed, parts, hot_rows):
+    rows = make(seed, 300, 0.6)
+    rng = random.Random(seed)
+    dealt = [[] for _ in range(parts)]
+    for r in rows:
+        rng.choice(dealt).append(r)
+    predicates = spark.createDataFrame(PREDICATES, "predicate string, single_valued boolean, object_kind string")
+    batches = [history.observations(spark.createDataFrame(b, TRIPLES), predicates) for b in dealt]
+    satellites = history.load(batches, hot_rows, 4, fast=["role"])
+    got = history.view(satellites, hot_rows, 4).collect()
+    assert len(got) == len({r.triple_id for r in got})
+    assert {r.triple_id: r.closed_by for r in got} == brute(rows)
+    assert {r.attribute for r in satellites[0].select("attribute").distinct().collect()} == {"role"}
+    assert {r.attribute for r in satellites[1].select("attribute").distinct().collect()} == {"works_at"}
+
+
+def observed(spark, rows):
+    cols = "triple_id long, hub string, attribute string, value string, object string, valid_start timestamp_ntz, valid_end timestamp_ntz, t_tx_start timestamp_ntz"
+    at = lambda d: None if d is None else DAY + timedelta(days=d)
+    return spark.createDataFrame([(i, h, "role", v, v, at(s), at(e), at(0)) for i, h, v, s, e in rows], cols)
+
+
 def test_append_only_changes(spark):
-    cols = "hub string, attribute string, hash_diff string, valid_start timestamp_ntz"
-    at = lambda d: DAY + timedelta(days=d)
-    stored = spark.createDataFrame([("a", "role", "h1", at(0)), ("a", "role", "h2", at(5))], cols)
-    batch = spark.createDataFrame([("a", "role", "h2", at(7)), ("a", "role", "h3", at(8)), ("a", "role", "h3", at(9)), ("b", "role", "h1", at(1)), ("a", "role", "h1", at(0))], cols)
-    got = {(r.hub, r.hash_diff, r.valid_start) for r in history.append(stored, batch).collect()}
-    assert got == {("a", "h3", at(8)), ("b", "h1", at(1))}
-    assert history.append(stored, batch.filter("false")).count() == 0
+    old, new = [(1, "a", "A", 0, None), (2, "a", "B", 5, None), (3, "z", "A", 0, None)], [(4, "a", "B", 7, None), (5, "a", "C", 8, None), (6, "a", "C", 9, None), (7, "b", "A", 1, None)]
+    satellite = history.append(None, observed(spark, old), None, 0).persist()
+    assert {r.triple_id for r in satellite.collect()} == {1, 2, 3}
+    added = history.append(satellite, observed(spark, old + new), observed(spark, new), 1)
+    assert {(r.triple_id, r.opens, r.load) for r in added.collect()} == {(5, True, 1), (7, True, 1)}
+    assert history.append(satellite, observed(spark, old), observed(spark, []), 1).count() == 0
 
 
 def test_append_late_rows_and_stated_ends(spark):
-    cols = "hub string, attribute string, hash_diff string, valid_start timestamp_ntz, valid_end timestamp_ntz"
-    at = lambda d: DAY + timedelta(days=d)
-    row = lambda hub, h, d, end=None: (hub, "role", h, at(d), None if end is None else at(end))
-    stored = spark.createDataFrame([row("a", "B", 5), row("b", "A", 0, 2), row("c", "A", 0), row("c", "C", 9), row("d", "A", 0, 9)], cols)
-    batch = spark.createDataFrame([row("a", "A", 3), row("a", "A", 8), row("b", "A", 8), row("c", "A", 4), row("c", "B", 6), row("d", "A", 8)], cols)
-    got = {(r.hub, r.hash_diff, r.valid_start) for r in history.append(stored, batch).collect()}
-    assert got == {("a", "A", at(3)), ("a", "A", at(8)), ("b", "A", at(8)), ("c", "B", at(6))}
+    """A gap after a stated end, a late row before an unchanged one, a late row that takes an opening over."""
+    old = [(1, "a", "B", 5, None), (2, "b", "A", 0, 2), (3, "c", "A", 0, None), (4, "c", "A", 6, None), (5, "d", "A", 5, None)]
+    new = [(6, "a", "A", 3, None), (7, "a", "A", 8, None), (8, "b", "A", 8, None), (9, "c", "B", 3, None), (10, "d", "A", 2, None)]
+    satellite = history.append(None, observed(spark, old), None, 0).persist()
+    assert {r.triple_id for r in satellite.collect()} == {1, 2, 3, 5}
+    added = {(r.triple_id, r.opens) for r in history.append(satellite, observed(spark, old + new), observed(spark, new), 1).collect()}
+    assert added == {(6, True), (7, True), (8, True), (9, True), (4, True), (10, True), (5, False)}
