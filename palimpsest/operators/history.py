@@ -109,6 +109,7 @@ def _neighbour(rows: DataFrame, cut: DataFrame | None, value: Column, name: str,
     return out.join(carried, [*GROUP, "block"], "left").withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
 
 
+OBSERVED = [*GROUP, "triple_id", "value", "object", "valid_start", "valid_end", "t_tx_start"]
 OPENING = ("hash_diff", "valid_start", "valid_end")
 VERSION = [*GROUP, "triple_id", "object", "hash_diff", "valid_start", "valid_end", "t_tx_start"]
 
@@ -137,17 +138,16 @@ def satellites(obs: DataFrame, hot_rows: int = 20_000, blocks: int = 128) -> Dat
     return closed(marked(current_rows(obs), cut).filter("opens"), cut)
 
 
-def append(satellite: DataFrame | None, staged: DataFrame, batch: DataFrame | None, load: int, hot_rows: int = 20_000, blocks: int = 128) -> DataFrame:
+def append(satellite: DataFrame | None, staged: DataFrame, batch: DataFrame | None, load: int, cut: DataFrame | None = None) -> DataFrame:
     """Rows to append to a satellite for one load: VERSION, opens and load.
 
     staged holds all observations up to and with this load, batch those of the load (None: all are new). Only groups
     that the batch touches are ordered. A row is appended where it begins to open a version, where the opening row of
     its start is another one now, and (with opens false) where a stored row no longer opens one. Without a
-    satellite nothing is stored yet.
+    satellite nothing is stored yet. `cut` are time blocks of hot groups (see hot_blocks), which do not change the result.
     """
     if batch is not None:
         staged = staged.join(batch.select(*GROUP).distinct(), GROUP, "left_semi")
-    cut = hot_blocks(staged, hot_rows, blocks)
     now = marked(current_rows(staged), cut).select(*VERSION, "opens")
     if satellite is None:
         return now.filter("opens").withColumn("load", F.lit(load))
@@ -163,10 +163,9 @@ def newest(satellite: DataFrame) -> DataFrame:
     return satellite.groupBy(*GROUP, "valid_start").agg(state).select(*GROUP, "valid_start", "s.*")
 
 
-def view(parts: list[DataFrame], hot_rows: int = 20_000, blocks: int = 128) -> DataFrame:
+def view(parts: list[DataFrame], cut: DataFrame | None = None) -> DataFrame:
     """The history over stored satellites: newest states that open a version, each ended by the next one. Columns as in `satellites`."""
-    versions = reduce(DataFrame.unionByName, [newest(p).filter("opens") for p in parts])
-    return closed(versions, hot_blocks(versions, hot_rows, blocks))
+    return closed(reduce(DataFrame.unionByName, [newest(p).filter("opens") for p in parts]), cut)
 
 
 def assign(obs: DataFrame, fast_share: float = 0.5) -> list[str]:
@@ -174,29 +173,29 @@ def assign(obs: DataFrame, fast_share: float = 0.5) -> list[str]:
 
     Attributes are predicates, few names whatever the data. What is left is slow.
     """
-    values = obs.select(*GROUP, F.xxhash64("value").alias("v")).distinct().groupBy("attribute", "hub").agg(F.count("*").alias("n"))
+    values = obs.select(F.xxhash64("hub").alias("hub"), "attribute", F.xxhash64("value").alias("v")).distinct().groupBy("attribute", "hub").agg(F.count("*").alias("n"))
     rate = values.groupBy("attribute").agg(((F.sum("n") - F.count("*")) / F.count("*")).alias("rate"))
     return sorted(r.attribute for r in rate.filter(F.col("rate") > fast_share).select("attribute").limit(100_000).collect())
 
 
-def load(batches: list[DataFrame], hot_rows: int = 20_000, blocks: int = 128, fast: list[str] | None = None, keep=stored) -> list[DataFrame]:
-    """The stored satellites (fast, slow) after the batches of observations, taken in turn.
+def load(observed: DataFrame, loads: int, hot_rows: int = 20_000, blocks: int = 128, fast: list[str] | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """The stored satellites [fast, slow] after loads 0 .. loads - 1, and the time blocks of hot groups.
 
-    Each load appends to both; `keep` writes what is appended as a table. The division of attributes is made once, by
-    the first batch, as rows are never moved; what it is does not change the history.
+    observed has the observations with their `load`; they are written to the staging area once. Each load appends to
+    both satellites, which are parts of one table. The division of attributes is made by the first load and kept, as
+    rows are never moved; what it is does not change the history.
     """
-    fast = assign(batches[0]) if fast is None else fast
-    is_fast = F.col("attribute").isin(fast) if fast else F.lit(False)
-    out: list[DataFrame] = []
-    for part in (is_fast, ~is_fast):
-        satellite, staged = None, None
-        for i, b in enumerate(batches):
-            own = b.filter(part)
-            staged = own if staged is None else staged.unionByName(own)
-            added = keep(append(satellite, staged, own if i else None, i, hot_rows, blocks))
-            satellite = added if satellite is None else satellite.unionByName(added)
-        out.append(satellite)
-    return out
+    area = stored(observed.select(*OBSERVED, "load"))
+    cut = hot_blocks(area, hot_rows, blocks)
+    cut = cut if cut is None else stored(cut)
+    fast = assign(area.filter("load = 0")) if fast is None else fast
+    part = F.when(F.col("attribute").isin(fast), "fast").otherwise("slow") if fast else F.lit("slow")
+    satellite: DataFrame | None = None
+    for i in range(loads):
+        batch = area.filter(F.col("load") == i) if i else None
+        added = stored(append(satellite, area.filter(F.col("load") <= i), batch, i, cut).withColumn("satellite", part), "satellite")
+        satellite = added if satellite is None else satellite.unionByName(added)
+    return [satellite.filter(F.col("satellite") == p).drop("satellite") for p in ("fast", "slow")], cut
 
 
 def periods(versions: DataFrame) -> DataFrame:

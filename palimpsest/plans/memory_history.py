@@ -15,11 +15,11 @@ HOT_ROWS = 4_096
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     """The history after two loads: what was recorded up to the middle of all recordings, then an update with the rest, late rows and corrections included."""
-    obs = history.observations(table(spark, d, "triples"), table(spark, d, "predicates"))
+    triples = table(spark, d, "triples")
     at = F.unix_micros(F.col("t_tx_start").cast("timestamp"))
-    middle = obs.agg(F.percentile_approx(at, 0.5, 1000).alias("m")).collect()[0].m
-    first = at <= F.lit(middle)
-    return history.view(history.load([obs.filter(first), obs.filter(~first)], HOT_ROWS), HOT_ROWS)
+    middle = triples.agg(F.percentile_approx(at, 0.5, 1000).alias("m")).collect()[0].m
+    obs = history.observations(triples, table(spark, d, "predicates"))
+    return history.view(*history.load(obs.withColumn("load", (at > F.lit(middle)).cast("int")), 2, HOT_ROWS))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -55,8 +55,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder: its size is known to later plans, and columns are read as needed."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """`df` written as a table in the shared folder, divided by a column if asked: its size is known to later plans, and parts and columns are read as needed."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

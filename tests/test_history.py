@@ -76,9 +76,12 @@ def test_any_division_into_batches_gives_the_same_history(spark, seed, parts, ho
     for r in rows:
         rng.choice(dealt).append(r)
     predicates = spark.createDataFrame(PREDICATES, "predicate string, single_valued boolean, object_kind string")
-    batches = [history.observations(spark.createDataFrame(b, TRIPLES), predicates) for b in dealt]
-    satellites = history.load(batches, hot_rows, 4, fast=["role"])
-    got = history.view(satellites, hot_rows, 4).collect()
+    numbered = [(*r, i) for i, b in enumerate(dealt) for r in b]
+    obs = history.observations(spark.createDataFrame([r[:-1] for r in numbered], TRIPLES), predicates)
+    obs = obs.join(spark.createDataFrame([(r[0], r[8], r[-1]) for r in numbered], "triple_id long, t_tx_start timestamp_ntz, load int").distinct(), ["triple_id", "t_tx_start"])
+    satellites, cut = history.load(obs, parts, hot_rows, 4, fast=["role"])
+    assert (cut is None) == (hot_rows == 10**6)
+    got = history.view(satellites, cut).collect()
     assert len(got) == len({r.triple_id for r in got})
     assert {r.triple_id: r.closed_by for r in got} == brute(rows)
     assert {r.attribute for r in satellites[0].select("attribute").distinct().collect()} == {"role"}
