@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -72,16 +71,14 @@ def canonical_predicates(df: DataFrame, table: DataFrame, column: str = "surface
     return df.join(F.broadcast(table.withColumnRenamed("surface", "_s")), F.lower(F.col(column)) == F.col("_s"), "left").drop("_s")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences, ended by . ! or ? with the white space after them left out; one span for a text without."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?][ \t\n\r\x0c]*", text):
-        if m.start() >= start:
-            out.append((start, m.start() + 1))
-            start = m.end()
-    if start < len(text):
-        out.append((start, len(text)))
-    return out or [(0, len(text))]
+#: What ends a sentence.
+STOP = "[.!?]"
+
+
+def sentences(text: Column | str) -> Column:
+    """The sentences of a text with their end marks, without white space around them; an empty text has none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.transform(F.split(text, f"(?<={STOP})"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def find_entities(text: str) -> list[Entity]:
@@ -97,34 +94,46 @@ def find_entities(text: str) -> list[Entity]:
 _COMMON = set("a an and at but did for from he her his i if in is it its my no not of on or our please she so that the their then there they this to was we what when where who why you your".split())
 
 
-def relations(text: str, entities: list[Entity], surfaces: dict[str, str]) -> list[tuple[str, str, str, float]]:
-    """Facts between neighbouring entities of one sentence: the phrase between them, else its first word, that is a known surface."""
-    spans = sentences(text)
-    of = lambda at: next((i for i, (a, b) in enumerate(spans) if a <= at < b), None)
-    ordered = sorted(entities)
-    out = []
-    for a, b in zip(ordered, ordered[1:]):
-        phrase = text[a[1] : b[0]].strip()
-        words = phrase.split()
-        if of(a[0]) != of(b[0]) or not words or len(words) > MAX_BETWEEN:
-            continue
-        candidates = [phrase, *(w.strip("".join(c for c in w if not c.isalpha())) for w in words)]
-        hit = next((surfaces[c.lower()] for c in candidates if c and c.lower() in surfaces), None)
-        if hit:
-            out.append((a[2], hit, b[2], RELATION_CONFIDENCE))
-    return out
-
-
-def extractor(config: ExtractorConfig | None = None, finder: Callable[[str], list[Entity]] = find_entities):
-    """Arrow UDF text -> triples: any entity finder can be plugged in; null texts give no facts."""
-    surfaces = (config or ExtractorConfig()).surfaces()
-
-    @F.pandas_udf(TRIPLES)
-    def extract(texts: pd.Series) -> pd.Series:
-        keys = ("subject", "predicate", "object", "confidence")
-        return texts.map(lambda t: [dict(zip(keys, r)) for r in relations(t, finder(t), surfaces)] if t else [])
-
-    return extract
+def relations(text: Column, entities: Column, surfaces: dict[str, str]) -> Column:
+    """Facts between neighbouring entities of one sentence: the phrase between them that is a known surface, else its first word that is.
+
+    text is a string, entities an array<struct<start,end,text>> of places in it; the result is an array of TRIPLES,
+    empty for null texts. All of it is one expression: only the entity finder may need Python.
+    """
+    known = F.create_map(*(F.lit(x) for kv in sorted(surfaces.items()) for x in kv)) if surfaces else F.create_map().cast("map<string,string>")
+    ordered = F.array_sort(entities)
+    last = F.greatest(F.size(ordered) - 1, F.lit(0))
+
+    def between(a: Column, b: Column) -> Column:
+        """What stands between two entities, with the words looked up in turn: the whole phrase first."""
+        said = F.substring(text, a["end"] + 1, F.greatest(b["start"] - a["end"], F.lit(0)))
+        stops = F.substring(text, a["start"] + 1, b["start"] - a["start"]).rlike(STOP)
+        words = F.filter(F.split(said, r"\s+"), lambda w: w != "")
+        looked_up = F.concat(F.array(F.lower(F.trim(said))), F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))))
+        found = F.filter(F.transform(looked_up, lambda w: F.try_element_at(known, w)), lambda p: p.isNotNull())
+        fits = ~stops & (F.size(words) > 0) & (F.size(words) <= MAX_BETWEEN)
+        return F.struct(a["text"].alias("subject"), F.when(fits, F.get(found, F.lit(0))).alias("predicate"), b["text"].alias("object"), F.lit(RELATION_CONFIDENCE).alias("confidence"))
+
+    facts = F.zip_with(F.slice(ordered, 1, last), F.slice(ordered, 2, last), between)
+    return F.coalesce(F.filter(facts, lambda f: f["predicate"].isNotNull()), F.array()).cast(TRIPLES)
+
+
+def extractor(config: ExtractorConfig | None = None, finder: Callable[[str], list[Entity]] = find_entities) -> Callable[[Column | str], Column]:
+    """text -> triples: any entity finder can be plugged in and runs on Arrow batches; null texts give no facts.
+
+    A finder gives (start, end, text), or (start, end, text, kind, score) to be held against the kinds and the
+    threshold of the configuration.
+    """
+    config = config or ExtractorConfig()
+    kinds, threshold = frozenset(config.entity_types), config.threshold
+
+    @F.pandas_udf(ENTITIES)
+    def entities(texts: pd.Series) -> pd.Series:
+        keep = lambda e: len(e) < 5 or (e[3] in kinds and e[4] >= threshold)
+        return texts.map(lambda t: [dict(zip(("start", "end", "text"), e)) for e in finder(t) if keep(e)] if t else [])
+
+    surfaces = config.surfaces()
+    return lambda text: relations(F.col(text) if isinstance(text, str) else text, entities(text), surfaces)
 
 
 def null_extractor() -> Callable[[Column], Column]:

@@ -11,8 +11,8 @@ from palimpsest.tools import Tools
 
 MON = datetime(2026, 5, 11)
 NOTES = [
-    (0, "alice finished the wireframe on Monday"), (1, "alice reviewed the wireframe on Tuesday"), (2, "bob sent the pricing quote on Wednesday"),
-    (3, "alice replied with feedback on Thursday"), (4, "bob closed the deal on Friday"),
+    (0, "Petra watered the seedlings at dawn"), (1, "Petra repotted the seedlings indoors"), (2, "Goran ordered the greenhouse glass today"),
+    (3, "Petra answered with measurements nearby"), (4, "Goran installed the vents outside"),
 ]
 WORDS = 40
 
@@ -47,20 +47,20 @@ def engine(spark, template, tmp_path):
 
 def test_recall_and_windows(engine):
     assert [r.id for r in engine.list_episodes()] == [1, 2, 3, 4, 5]
-    cue = "alice bob wireframe quote feedback deal"
+    cue = "petra goran seedlings glass measurements vents"
     r = engine.recall(Query(cue))
     assert r.tier_used == "Lexical" and {m.id for m in r.matches} == {1, 2, 3, 4, 5} and all(0.55 <= m.confidence <= 0.95 for m in r.matches)
     window = engine.recall(Query(cue, time_window=(MON + timedelta(days=3), MON + timedelta(days=5))))
     assert {m.id for m in window.matches} == {4, 5}
-    past = engine.recall(Query("pricing quote", as_of=MON + timedelta(days=2), tier_floor="Lexical"))
+    past = engine.recall(Query("greenhouse glass", as_of=MON + timedelta(days=2), tier_floor="Lexical"))
     assert [m.id for m in past.matches] == [3]
-    assert engine.recall(Query("pricing", time_window=(datetime(2027, 1, 1), datetime(2027, 2, 1)), tier_floor="Lexical")).matches == []
-    far = engine.recall(Query("zylphorium quandric"))
+    assert engine.recall(Query("greenhouse", time_window=(datetime(2027, 1, 1), datetime(2027, 2, 1)), tier_floor="Lexical")).matches == []
+    far = engine.recall(Query("brumelostic tavverin"))
     assert far.matches and far.tier_used in ("Gist", "NearestNeighbor", "Semantic")
-    assert engine.recall(Query("zylphorium", tier_floor="Exact")).matches == []
+    assert engine.recall(Query("brumelostic", tier_floor="Exact")).matches == []
     assert engine.recall(Query("?!", tier_floor="Lexical")).matches == []
     assert [m.rank for m in engine.recall(Query(cue, k=2, tier_floor="Lexical")).matches] == [1, 2]
-    assert engine.recall(Query("wireframe", min_confidence=0.99, tier_floor="Lexical")).matches == []
+    assert engine.recall(Query("seedlings", min_confidence=0.99, tier_floor="Lexical")).matches == []
 
 
 def test_supersede_stats_export(engine, spark, tmp_path):
@@ -80,26 +80,26 @@ def test_supersede_stats_export(engine, spark, tmp_path):
 
 def test_facts_concepts_and_subjects(spark, tmp_path):
     e = MemoryEngine(spark, str(tmp_path / "m"), X.extractor(finder=finder()), WORDS)
-    observed(spark, e, list(enumerate(["Sarah recommended Bawri", "Sarah likes Olive", "sarah visited Trishna", "Marko met Olive"])))
-    assert {r.canonical_name for r in e.table("concepts").collect()} == {"Sarah", "Bawri", "Olive", "Trishna", "Marko"}
+    observed(spark, e, list(enumerate(["Nadja recommended Lindenhof", "Nadja likes Marlow", "nadja visited Kestrel", "Tibor met Marlow"])))
+    assert {r.canonical_name for r in e.table("concepts").collect()} == {"Nadja", "Lindenhof", "Marlow", "Kestrel", "Tibor"}
     facts = [t for r in e.list_episodes() for t in r.triples]
-    assert [(t.subject, t.predicate, t.object) for t in facts][2] == ("Sarah", "visited", "Trishna")
-    r = e.recall(Query("what did Sarah say?"))
+    assert [(t.subject, t.predicate, t.object) for t in facts][2] == ("Nadja", "visited", "Kestrel")
+    r = e.recall(Query("what did Nadja say?"))
     assert r.tier_used == "Lexical" and {m.id for m in r.matches} == {1, 2, 3}
-    by = e.recall(Query("Olive", subject="SARAH"))
+    by = e.recall(Query("Marlow", subject="NADJA"))
     assert [m.id for m in by.matches][0] == 2 and {m.id for m in by.matches} == {1, 2, 3}
-    assert e.recall(Query("Olive", subject="Nobody")).matches == []
-    assert [r.id for r in e.timeline(MON, MON + timedelta(days=9), "sarah", 2)] == [1, 2]
+    assert e.recall(Query("Marlow", subject="Nobody")).matches == []
+    assert [r.id for r in e.timeline(MON, MON + timedelta(days=9), "nadja", 2)] == [1, 2]
     assert e.timeline(MON, MON + timedelta(days=9), "nobody") == []
 
 
 def test_consolidation_and_contradictions(spark, tmp_path):
     e = MemoryEngine(spark, str(tmp_path / "m"), X.extractor(finder=finder()), WORDS)
-    observed(spark, e, [(0, "Sarah likes Olive")] * 3 + [(4, "Sarah likes Bawri")])
+    observed(spark, e, [(0, "Nadja likes Marlow")] * 3 + [(4, "Nadja likes Lindenhof")])
     assert e.consolidate(MON) == {"scanned": 4, "atoms_created": 1, "contradictions": 1}
     assert e.consolidate(MON)["atoms_created"] == 0
-    atom = e.recall(Query("Sarah")).semantic_atoms[0]
-    assert atom.claim == "Sarah likes Olive" and atom.evidence_count == 3
+    atom = e.recall(Query("Nadja")).semantic_atoms[0]
+    assert atom.claim == "Nadja likes Marlow" and atom.evidence_count == 3
     assert sum(x.bit_count() for x in e.self_vector()) > 0 and len(e.self_vector_history()) == 1
     kinds = [r.kind for r in e.all_learning_events()]
     assert kinds.count("consolidation_run") == 2 and kinds.count("self_vector_updated") == 1
@@ -113,8 +113,8 @@ def test_concepts_by_name(engine):
 
 
 def test_goals(engine):
-    g = engine.set_goal("ship the wireframe", now=MON)
-    child = engine.set_goal("review the wireframe", parent_id=g)
+    g = engine.set_goal("ship the seedlings", now=MON)
+    child = engine.set_goal("review the seedlings", parent_id=g)
     assert [x.id for x in engine.active_goals()] == [g, child]
     engine.pause_goal(g, "later")
     with pytest.raises(InvalidTransition):
@@ -130,45 +130,45 @@ def test_goals(engine):
             call(g)
     with pytest.raises(UnknownId):
         engine.pause_goal(77)
-    plain = engine.recall(Query("wireframe", tier_floor="Lexical"))
-    biased = engine.recall(Query("wireframe", goal_bias_weight=0.5, tier_floor="Lexical"))
+    plain = engine.recall(Query("seedlings", tier_floor="Lexical"))
+    biased = engine.recall(Query("seedlings", goal_bias_weight=0.5, tier_floor="Lexical"))
     assert biased.matches[0].confidence > plain.matches[0].confidence
 
 
 def test_beliefs(engine):
-    b = engine.assert_belief("bob sells", 0.5, "bob", "sells", "deals", [5])
+    b = engine.assert_belief("goran builds", 0.5, "goran", "builds", "vents", [5])
     for _ in range(3):
         old, new, gone = engine.revise_belief(b, 3, True)
     assert new == pytest.approx(0.7336, abs=1e-4) and not gone
-    assert engine.assert_belief("other claim", 0.1, "bob", "sells", "x", [4]) == b
-    assert engine.get_belief(b).claim == "bob sells" and 4 in engine.get_belief(b).evidence
+    assert engine.assert_belief("other claim", 0.1, "goran", "builds", "x", [4]) == b
+    assert engine.get_belief(b).claim == "goran builds" and 4 in engine.get_belief(b).evidence
     assert [r.seq for r in engine.belief_history(b)] == [0, 1, 2, 3]
-    assert [r.id for r in engine.what_do_i_believe("bob")] == [b]
+    assert [r.id for r in engine.what_do_i_believe("goran")] == [b]
     weak = engine.assert_belief("weak", 0.5)
     assert engine.revise_belief(weak, 1, False)[2]
     with pytest.raises(InvalidTransition):
         engine.revise_belief(weak, 1, True)
     engine.withdraw_belief(b)
     engine.withdraw_belief(b)
-    assert engine.what_do_i_believe("bob") == [] and len(engine.all_beliefs()) == 2
+    assert engine.what_do_i_believe("goran") == [] and len(engine.all_beliefs()) == 2
 
 
 def test_unlearn_and_restore(engine):
-    b = engine.assert_belief("alice works", 0.6, "alice", "works", "hard", [1, 2, 3])
+    b = engine.assert_belief("petra works", 0.6, "petra", "works", "hard", [1, 2, 3])
     report = engine.unlearn("episode", 1, "asked", MON)
     assert (report["episodes"], report["beliefs_revised"]) == (1, 1)
     with pytest.raises(UnknownId):
         engine.get_episode(1)
     kept = engine.get_belief(b)
     assert kept.evidence == [2, 3] and kept.confidence == pytest.approx(0.4) and kept.t_valid_end is not None
-    assert 1 not in {m.id for m in engine.recall(Query("wireframe")).matches}
+    assert 1 not in {m.id for m in engine.recall(Query("seedlings")).matches}
     with pytest.raises(RestoreExpired):
         engine.restore_within_window(report["audit_event_id"], MON + timedelta(days=31))
     assert engine.restore_within_window(report["audit_event_id"], MON + timedelta(days=30)) == 1
     assert engine.get_episode(1).id == 1 and engine.restore_within_window(12345) == 0
     session = engine.unlearn("session", "s1", now=MON)
     assert session["episodes"] == 5 and engine.list_episodes() == [] and len(engine.unlearn_history()) == 5
-    assert engine.recall(Query("alice")).matches == []
+    assert engine.recall(Query("petra")).matches == []
 
 
 def test_sensory(spark, tmp_path):
@@ -186,7 +186,7 @@ def test_tools(engine):
     assert len(tools.list()) == 13
     requests = [
         {"jsonrpc": "2.0", "id": 1, "method": "initialize"}, {"jsonrpc": "2.0", "method": "note"}, {"jsonrpc": "2.0", "id": 2, "method": "nope"},
-        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "memory_recall", "arguments": {"cue": "wireframe"}}},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "memory_recall", "arguments": {"cue": "seedlings"}}},
         {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "memory_get_episode", "arguments": {"id": "77"}}},
         {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "memory_assert_belief", "arguments": {"claim": "c", "subject": "s"}}},
         {"jsonrpc": "2.0", "id": 6, "method": "tools/call", "params": {"name": "none"}},

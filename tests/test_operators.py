@@ -112,14 +112,24 @@ def test_fuzzy_lookup_against_brute_force(spark):
 
 
 def test_extraction(spark):
-    surfaces = extract.ExtractorConfig(synonyms={"Reports To": "reports_to"}).surfaces()
-    text = "Sarah told me about Bawri. Bob lives in Rome! Then Dan met Eve? Ann said a lot of things about very many other people than Joe."
-    facts = extract.relations(text, extract.find_entities(text), surfaces)
-    assert ("Sarah", "recommends", "Bawri", 0.5) in facts and ("Bob", "located_in", "Rome", 0.5) in facts and not any(f[0] == "Ann" or f[2] == "Bob" for f in facts)
-    assert extract.relations("Al reports to Bo", extract.find_entities("Al reports to Bo"), surfaces) == [("Al", "reports_to", "Bo", 0.5)]
-    assert extract.sentences("no end") == [(0, 6)] and extract.sentences("") == [(0, 0)] and len(extract.sentences("a. b! c?")) == 3
-    df = spark.createDataFrame([("Ann likes Bo",), (None,), ("",)], "text string").select(F.size(extract.extractor()("text")).alias("n"))
-    assert [r.n for r in df.collect()] == [1, 0, 0]
+    config = extract.ExtractorConfig(synonyms={"Reports To": "reports_to"})
+    texts = [
+        (1, "Nadja told me about Lindenhof. Bob lives in Rome! Then Dan met Eve? Ann said a lot of things about very many other people than Joe."),
+        (2, "Al reports to Bo"), (3, None), (4, ""), (5, "no names here"), (6, "Zoë quickly, visited! Åre"), (7, "Zoë quickly (visited) Åre"),
+    ]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r.id: [tuple(t) for t in r.facts] for r in df.select("id", extract.extractor(config)("text").alias("facts")).collect()}
+    assert ("Nadja", "recommends", "Lindenhof", 0.5) in got[1] and ("Bob", "located_in", "Rome", 0.5) in got[1] and not any(f[0] == "Ann" or f[2] == "Bob" for f in got[1])
+    assert got[2] == [("Al", "reports_to", "Bo", 0.5)] and got[3] == got[4] == got[5] == got[6] == [] and got[7] == [("Zoë", "visited", "Åre", 0.5)]
+    split = spark.createDataFrame([("no end",), ("",), ("a. b! c?",), (None,)], "t string").select(extract.sentences("t").alias("s")).collect()
+    assert [r.s for r in split] == [["no end"], [], ["a.", "b!", "c?"], None]
+
+    def scored(text):
+        return [(0, 2, "Al", "person", 0.9), (14, 16, "Bo", "animal", 0.9)] if text else []
+
+    assert df.filter("id = 2").select(extract.extractor(config, scored)("text").alias("f")).collect()[0].f == []
+    wide = extract.ExtractorConfig(["person", "animal"], 0.5, config.synonyms)
+    assert len(df.filter("id = 2").select(extract.extractor(wide, scored)("text").alias("f")).collect()[0].f) == 1
     names = spark.createDataFrame([("ANN",), ("Anne",), ("zed",), ("Zed",), (None,)], "name string")
     concepts = spark.createDataFrame([(5, "Ann")], "id long, canonical_name string")
     got = {r.name: (r.concept_id, r.how) for r in extract.resolve_aliases(names, concepts, 1).collect()}
@@ -182,11 +192,16 @@ def test_baselines_and_measures(spark):
     ranked = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, True), (3, 1, False), (4, None, False)], "query_id long, rank int, relevant boolean")
     m = evaluate.ranking_scores(ranked).collect()[0]
     assert (m.queries, m.hit_1, m.hit_5, m.mrr, m.p50_rank, m.p95_rank) == (4, 0.25, 0.5, 0.375, 2, 2)
-    rng = evaluate.SplitMix(42)
-    docs = evaluate.corpus(300, rng)
-    assert len(docs) == 303 and docs[0].superseded_by == 301 and docs == evaluate.corpus(300, evaluate.SplitMix(42))
-    queries = evaluate.bench_queries(docs, 3, rng)
-    assert len(queries) == 15 and {q["cue_class"] for q in queries} == {"exact", "single-entity", "noisy", "temporal", "paraphrase"}
+    docs = evaluate.corpus(spark, 300)
+    rows = {r.id: r for r in docs.collect()}
+    assert len(rows) == 303 and rows[50].superseded_by == 301 and rows[301].person == rows[50].person and rows[301].valid_start > rows[50].valid_start
+    assert rows == {r.id: r for r in evaluate.corpus(spark, 300).repartition(3).collect()} and len({r.person for r in rows.values()}) > 20
+    asked, truth = evaluate.bench_queries(docs, 4)
+    kinds = {r.query_id: r.cue_class for r in asked.collect()}
+    assert len(kinds) == 20 and set(kinds.values()) == {"exact", "single-entity", "noisy", "temporal", "paraphrase"}
+    assert {r.query_id for r in truth.collect()} == set(kinds)
+    assert all(r.as_of is not None and r.cue for r in asked.filter("cue_class = 'temporal'").collect())
+    assert spark.range(1).select(evaluate.slipped(F.lit("Oltov"), F.lit(0))).collect()[0][0] == "Otlov"
 
 
 def test_surprise_blocks_agree_with_one_pass(spark):
