@@ -107,7 +107,7 @@ def majority(df: DataFrame, keys: list[str], vector: str, words: int) -> DataFra
     return per_word.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias(vector))
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=8_192)  # 8 KB each at full width
 def name_bits(name: str, words: int) -> np.ndarray:
     """The bits of a name's vector as 0 and 1, in Python."""
     values = [int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:15], 16) for i in range(words)]
@@ -127,10 +127,10 @@ def token_bundle(words: int = FULL_WORDS):
         def one(ts) -> np.ndarray:
             if ts is None or not len(ts):
                 return np.zeros(words, dtype=np.int64)
-            tally = np.zeros(words * WORD_BITS, dtype=np.int64)
+            tally = np.zeros(words * WORD_BITS, dtype=np.uint16 if len(ts) < 1 << 16 else np.int64)
             for t in ts:
                 tally += name_bits(t, words)
-            return pack_bits(2 * tally > len(ts))
+            return pack_bits(tally > len(ts) // 2)
 
         return tokens.map(one)
 
@@ -172,48 +172,12 @@ def bundle_groups(df: DataFrame, key: str, vector: str, words: int = FULL_WORDS)
     return part.groupBy("k").applyInPandas(total, "k long, n long, v array<bigint>").select(F.col("k").alias(key), "n", F.col("v").alias(vector))
 
 
-def scan(queries: DataFrame, stored: DataFrame, words: int = FULL_WORDS, block: int = 256) -> DataFrame:
-    """Distances of a stated query set to all stored vectors: (query_id, id, distance, pop_q, pop_s).
-
-    queries (query_id, hv) is walked in blocks, each broadcast by itself and so of bounded
-    size; the stored side (id, hv) is read once per block and never moved.
-    """
-    session = stored.sparkSession
-    schema = "query_id long, id long, distance long, pop_q long, pop_s long"
-    out = session.createDataFrame([], schema)
-    rows = queries.select("query_id", "hv").toLocalIterator()
-    while True:
-        ids, vectors = [], []
-        for r in rows:
-            ids.append(r.query_id)
-            vectors.append(r.hv)
-            if len(ids) == block:
-                break
-        if not ids:
-            return out
-        sent = session.sparkContext.broadcast((np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.int64)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q = sent.value
-            pop_q = np.bitwise_count(q).sum(axis=1, dtype=np.int64)
-            for b in batches:
-                s = b.column("hv").flatten().to_numpy().reshape(-1, words)
-                pop_s = np.bitwise_count(s).sum(axis=1, dtype=np.int64)
-                own = b.column("id").to_numpy()
-                for i in range(len(qid)):
-                    d = np.bitwise_count(s ^ q[i]).sum(axis=1, dtype=np.int64)
-                    yield pa.RecordBatch.from_pydict({
-                        "query_id": np.full(len(own), qid[i]), "id": own, "distance": d,
-                        "pop_q": np.full(len(own), pop_q[i]), "pop_s": pop_s,
-                    })
-
-        out = out.unionByName(stored.filter("id is not null and hv is not null").select("id", "hv").mapInArrow(run, schema))
-
-
 def nearest(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORDS, block: int = 256, rows_at_once: int = 256) -> DataFrame:
     """The k stored vectors of least distance to each query, ties to the smaller id: (query_id, id, distance).
 
-    As `scan`, but each batch keeps its own k best of a query, so the pairs never leave the task that compares them.
+    queries (query_id, hv) is walked in blocks, each broadcast by itself and so of bounded size; the stored side (id, hv) is
+    read once per block and never moved. Each batch keeps its own k best of a query, so the pairs never leave the task
+    that compares them.
     """
     session = stored.sparkSession
     schema = "query_id long, id long, distance long"
@@ -245,6 +209,98 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WOR
     return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
+def _blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator[dict[str, np.ndarray]]:
+    """A stated query set in blocks of bounded size: its columns as arrays, missing numbers as NaN."""
+    asked = queries.select(*columns).toLocalIterator()
+    while taken := list(islice(asked, block)):
+        out = {c: np.array([np.nan if r[c] is None else r[c] for r in taken], dtype=float) for c in columns if c not in ("query_id", "hv")}
+        yield out | {"query_id": np.array([r.query_id for r in taken], dtype=np.int64), "hv": np.array([r.hv for r in taken], dtype=np.int64)}
+
+
+def _distances(q: np.ndarray, s: np.ndarray, rows_at_once: int = 256) -> np.ndarray:
+    d = np.empty((len(q), len(s)), dtype=np.int64)
+    for at in range(0, len(s), rows_at_once):  # so few that they stay in the processor's cache
+        part = s[at : at + rows_at_once]
+        for i in range(len(q)):
+            d[i, at : at + rows_at_once] = np.bitwise_count(part ^ q[i]).sum(axis=1, dtype=np.int64)
+    return d
+
+
+def ranked(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORDS, by_phi: bool = False, floor: float | None = None, block: int = 1_024) -> DataFrame:
+    """The k best stored vectors of each query by similarity or `phi`, ties to the smaller id: (query_id, id, score).
+
+    queries has query_id, hv and as_of, low, high; stored has id, hv, start and end: numbers or null. A row counts for a
+    query if start <= as_of < end and it overlaps low .. high, where these are given; an open end reaches forever for
+    as_of and is a point at its start for the window. Rows below `floor` are left out. Each task keeps the k best of its
+    own rows, so the pairs never leave the task that compares them.
+    """
+    session, schema = stored.sparkSession, "query_id long, id long, score double"
+    out = session.createDataFrame([], schema)
+    known = stored.filter("id is not null and hv is not null").select("id", "hv", F.col("start").cast("double"), F.col("end").cast("double"))
+    times = [F.col(c).cast("double").alias(c) for c in ("as_of", "low", "high")]
+    for part in _blocks(queries.select("query_id", "hv", *times), ["query_id", "hv", "as_of", "low", "high"], block):
+        sent = session.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            pop_q = np.bitwise_count(q["hv"]).sum(axis=1, dtype=np.int64).astype(float)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids, n = b.column("id").to_numpy(), float(words * WORD_BITS)
+                s = b.column("hv").flatten().to_numpy().reshape(-1, words)
+                start, end = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("start", "end"))
+                pop_s = np.bitwise_count(s).sum(axis=1, dtype=np.int64).astype(float)
+                rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+                for at in range(0, len(ids), 4_096):
+                    cut = slice(at, at + 4_096)
+                    d = _distances(q["hv"], s[cut])
+                    ends = np.where(np.isnan(end[cut]), np.inf, end[cut])
+                    point = np.where(np.isnan(end[cut]), start[cut], end[cut])
+                    for i, (t, low, high) in enumerate(zip(q["as_of"], q["low"], q["high"])):
+                        if by_phi:
+                            both, spread = (pop_q[i] + pop_s[cut] - d[i]) / 2.0, pop_q[i] * (n - pop_q[i]) * pop_s[cut] * (n - pop_s[cut])
+                            score = np.where(spread <= 0, 0.0, (n * both - pop_q[i] * pop_s[cut]) / np.sqrt(np.where(spread <= 0, 1.0, spread)))
+                        else:
+                            score = 1 - d[i] / n
+                        fits = np.ones(len(score), dtype=bool) if floor is None else score >= floor
+                        if not np.isnan(t):
+                            fits &= (start[cut] <= t) & (t < ends)
+                        if not (np.isnan(low) or np.isnan(high)):
+                            fits &= (start[cut] <= high) & (point >= low)
+                        may = np.flatnonzero(fits)
+                        if len(may):
+                            best = may[_least(-score[may], ids[cut][may], min(k, len(may)))]
+                            rows.append((i, ids[cut][best], score[best]))
+                if rows:
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": np.repeat(q["query_id"][[r[0] for r in rows]], [len(r[1]) for r in rows]),
+                        "id": np.concatenate([r[1] for r in rows]), "score": np.concatenate([r[2] for r in rows]),
+                    })
+
+        out = out.unionByName(known.mapInArrow(run, schema))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def closest(queries: DataFrame, stored: DataFrame, words: int = FULL_WORDS, block: int = 1_024) -> DataFrame:
+    """(id, score): the largest similarity of each stored vector to a stated set; one row per vector and block is moved."""
+    session, schema = stored.sparkSession, "id long, score double"
+    out = session.createDataFrame([], schema)
+    for part in _blocks(queries, ["query_id", "hv"], block):
+        sent = session.sparkContext.broadcast(part["hv"])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    s = b.column("hv").flatten().to_numpy().reshape(-1, words)
+                    least = np.concatenate([_distances(sent.value, s[at : at + 4_096]).min(axis=0) for at in range(0, len(s), 4_096)])
+                    yield pa.RecordBatch.from_pydict({"id": b.column("id").to_numpy(), "score": 1 - least / float(words * WORD_BITS)})
+
+        out = out.unionByName(stored.filter("id is not null and hv is not null").select("id", "hv").mapInArrow(run, schema))
+    return out.groupBy("id").agg(F.max("score").alias("score"))
+
+
 def _least(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k least distances, ties to the smaller id."""
     near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])

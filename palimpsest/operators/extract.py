@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.operators import episodes as E
+from palimpsest.operators.order import numbered
 
 # Canonical predicates and the surface forms that mean them.
 SURFACES = {
@@ -151,7 +152,7 @@ def resolve_aliases(mentions: DataFrame, concepts: DataFrame, distance: int = AL
     known = E.concept_lookup(one, concepts, distance)
     rest = one.join(known, "name", "left_anti").withColumn("l", F.lower("name"))
     start = concepts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    fresh = rest.groupBy("l").agg(F.min("name").alias("first")).withColumn("concept_id", (F.row_number().over(Window.orderBy("l")) + start).cast("long"))
+    fresh = numbered(rest.select("l").distinct(), ["l"], "nth", 1).withColumn("concept_id", (F.col("nth") + start).cast("long"))
     return known.unionByName(rest.join(fresh, "l").select("name", "concept_id", F.lit("new").alias("how")))
 
 
@@ -161,13 +162,13 @@ def observe(texts: DataFrame, now: Column, first_id: int, extract, source: str =
     Confidence is the geometric mean of the facts' confidences, 0.5 without facts. Ids follow `pos`.
     """
     at = F.coalesce("observed_at", now) if "observed_at" in texts.columns else now
-    x = texts.withColumn("triples", extract(F.col("text"))).withColumn("at", at).withColumn("anchor", S.time_anchor(F.col("text"), F.col("at")))
+    x = numbered(texts, ["pos"], "id", first_id).withColumn("triples", extract(F.col("text"))).withColumn("at", at).withColumn("anchor", S.time_anchor(F.col("text"), F.col("at")))
     logs = F.aggregate(F.filter("triples", lambda t: t["confidence"] > 0), F.lit(0.0), lambda s, t: s + F.log(t["confidence"]))
     positive = F.size(F.filter("triples", lambda t: t["confidence"] > 0))
     none = F.lit(None).cast("string")
     provenance = F.struct(F.lit(source).alias("source"), F.lit(session).cast("string").alias("session_id"), none.alias("trace_id"), F.create_map().cast("map<string,string>").alias("metadata"))
     return x.select(
-        (F.row_number().over(Window.orderBy("pos")) + (first_id - 1)).cast("long").alias("id"), "text", "triples",
+        F.col("id").cast("long").alias("id"), "text", "triples",
         F.coalesce("anchor.start", "at").alias("valid_start"), F.col("anchor.end").alias("valid_end"), now.alias("t_tx_start"), provenance.alias("provenance"),
         F.when(positive > 0, F.exp(logs / positive)).otherwise(0.5).alias("confidence"), F.lit(None).cast("long").alias("superseded_by"),
     )

@@ -44,11 +44,16 @@ def allowed(hits: DataFrame, cues: DataFrame, directory: DataFrame) -> DataFrame
     return x.filter(passes(F.col("tombstoned"), F.col("as_of"), F.col("window_from"), F.col("window_to"))).select(*hits.columns)
 
 
+def most(cues: DataFrame) -> int:
+    """The largest k of the cues: no window needs more rows of one."""
+    return max(1, cues.agg(F.max("k").alias("k")).collect()[0].k or 1)
+
+
 def top_k(scored: DataFrame, cues: DataFrame) -> DataFrame:
     """The best k rows per cue, by score and then id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     # the constant bound lets Spark cut each partition before the shuffle
-    ranked = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= S.SCAN_HEAD)
+    ranked = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most(cues))
     return ranked.join(cues.select("query_id", "k"), "query_id").filter("_r <= k").drop("_r", "k")
 
 
@@ -135,26 +140,41 @@ def structured_cues(cues: DataFrame, concepts: DataFrame, words: int) -> DataFra
     return hv.bundle_groups(names.select("query_id", F.explode(roles).alias("hv")), "query_id", "hv", words).select("query_id", "hv")
 
 
-def phi_scores(queries: DataFrame, stored: DataFrame, words: int) -> DataFrame:
-    """(query_id, id, score) by density-corrected correlation, over all stored vectors."""
-    return hv.scan(queries, stored, words).select("query_id", "id", hv.phi(F.col("pop_q"), F.col("pop_s"), F.col("distance"), words).alias("score"))
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
 
+def vector_scores(queries: DataFrame, stored: DataFrame, cues: DataFrame, directory: DataFrame, allow: DataFrame, words: int, by_phi: bool, floor: float | None) -> DataFrame:
+    """(query_id, id, score): the best rows of each query vector over all stored vectors that its cue allows.
 
-def similarity_scores(queries: DataFrame, stored: DataFrame, words: int) -> DataFrame:
-    """(query_id, id, score) by raw similarity, over all stored vectors."""
-    return hv.scan(queries, stored, words).select("query_id", "id", (1 - F.col("distance") / float(words * hv.WORD_BITS)).alias("score"))
+    At most SCAN_HEAD rows per cue, as for any scan of vectors. Cues under a subject are compared with the episodes
+    of `allow` alone, a join.
+    """
+    k = min(most(cues), S.SCAN_HEAD)
+    asked = queries.join(cues.select("query_id", _micros(F.col("as_of")).alias("as_of"), _micros(F.col("window_from")).alias("low"), _micros(F.col("window_to")).alias("high"), "subject"), "query_id")
+    alive = directory.filter("not tombstoned").select("id", _micros(F.col("valid_start")).alias("start"), _micros(F.col("valid_end")).alias("end"))
+    known = stored.filter("hv is not null").join(alive, "id")
+    free = hv.ranked(asked.filter("subject is null"), known, k, words, by_phi, floor)
+    named = asked.filter("subject is not null").select("query_id", F.col("hv").alias("q")).join(allow, "query_id").join(stored.filter("hv is not null").select("id", "hv"), "id")
+    n, distance = words * hv.WORD_BITS, hv.hamming(F.col("q"), F.col("hv"))
+    score = hv.phi(hv.popcount(F.col("q")), hv.popcount(F.col("hv")), distance, words) if by_phi else 1 - distance / float(n)
+    named = allowed(named.select("query_id", "id", score.alias("score")), cues, directory)
+    if floor is not None:
+        named = named.filter(F.col("score") >= floor)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return free.unionByName(named.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r"))
 
 
 def _left(cues: DataFrame, answered: DataFrame) -> DataFrame:
     return cues.join(answered.select("query_id").distinct(), "query_id", "left_anti")
 
 
-def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concepts: DataFrame, vectors: DataFrame | None = None, embedded_cues: DataFrame | None = None,
+def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concepts: DataFrame, vectors: DataFrame | dict[str, DataFrame] | None = None, embedded_cues: DataFrame | None = None,
             floor: str = "NearestNeighbor", words: int = hv.FULL_WORDS) -> DataFrame:
     """(query_id, id, score, confidence, tier): the first tier with rows answers a cue, down to `floor`.
 
-    vectors has id, sig, gist and emb (null where missing); without it only the tiers on tokens run. embedded_cues
-    has query_id and hv for the semantic tier. min_confidence applies after the choice of the tier and may leave none.
+    vectors has id, sig, gist and emb (null where missing), in one table or as a table (id, hv) per name; without it
+    only the tiers on tokens run. embedded_cues has query_id and hv for the semantic tier. min_confidence applies after the choice of the tier and may leave none.
     """
     cues = with_defaults(cues)
     deepest = S.TIERS.index(floor)
@@ -175,9 +195,9 @@ def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concept
         nonlocal out
         out = out.unionByName(checkpointed(rows.select(*MATCH)))
 
-    def scanned(queries: DataFrame, column: str, score, left: DataFrame) -> DataFrame:
-        stored = vectors.select("id", F.col(column).alias("hv"))
-        return allowed(restricted(score(queries, stored, words)), left, directory)
+    def scanned(queries: DataFrame, column: str, left: DataFrame, by_phi: bool, least: float | None) -> DataFrame:
+        stored = vectors[column] if isinstance(vectors, dict) else vectors.select("id", F.col(column).alias("hv"))
+        return vector_scores(queries, stored, left, directory, allow, words, by_phi, least)
 
     if deepest >= 1:
         left = _left(cues, out)
@@ -188,16 +208,16 @@ def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concept
         return out
     left = _left(spoken, out)
     if deepest >= 2 and not left.isEmpty():
-        x = scanned(structured_cues(left, concepts, words), "sig", phi_scores, left)
+        x = scanned(structured_cues(left, concepts, words), "sig", left, True, S.PHI_FLOOR)
         add(banded(x, left, S.PHI_FLOOR, S.PHI_FULL, S.BAND_B, "Similarity"))
         left = _left(spoken, out)
     if deepest >= 3 and embedded_cues is not None and not left.isEmpty():
-        x = scanned(embedded_cues.join(left.select("query_id"), "query_id", "left_semi"), "emb", phi_scores, left)
+        x = scanned(embedded_cues.join(left.select("query_id"), "query_id", "left_semi"), "emb", left, True, S.EMB_FLOOR)
         add(banded(x, left, S.EMB_FLOOR, S.EMB_FULL, S.BAND_E, "Semantic"))
         left = _left(spoken, out)
     if deepest >= 4 and not left.isEmpty():
         asked = left.select("query_id", hv.token_bundle(words)(terms("cue")).alias("hv"))
-        x = checkpointed(scanned(asked, "gist", similarity_scores, left))
+        x = checkpointed(scanned(asked, "gist", left, False, None))
         add(banded(x, left, S.GIST_FLOOR, S.GIST_FULL, S.BAND_C, "Gist"))
         if deepest >= 5:
             near = top_k(x.join(_left(left, out).select("query_id"), "query_id", "left_semi"), left)
@@ -211,7 +231,7 @@ def goal_bias(matches: DataFrame, goals: DataFrame, signatures: DataFrame, weigh
     goals (id, hv) are the stated set the signatures of the finalists are scanned for; no row enters or leaves.
     """
     finalists = signatures.join(matches.select("id").distinct(), "id", "left_semi").select("id", "hv").persist()
-    sims = similarity_scores(goals.select(F.col("id").alias("query_id"), "hv"), finalists, words).groupBy("id").agg(F.max("score").alias("sim"))
+    sims = hv.closest(goals.select(F.col("id").alias("query_id"), "hv"), finalists, words).withColumnRenamed("score", "sim")
     x = matches.join(sims, "id", "left")
     boosted = S.goal_boost(F.col("confidence"), F.lit(max(0.0, min(1.0, weight))), F.col("sim"))
     return x.withColumn("confidence", F.when(F.col("sim").isNull(), F.col("confidence")).otherwise(boosted)).drop("sim")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hv
+from palimpsest.operators import order
 from palimpsest.schemas import EVENT_KINDS
 
 
@@ -53,7 +54,7 @@ def events(parts: dict[str, DataFrame]) -> DataFrame:
 
 def numbered(log: DataFrame, first_id: int = 1) -> DataFrame:
     """Events with ids in order of time, kind and reference."""
-    return log.withColumn("id", F.row_number().over(Window.orderBy("at", "kind", "ref_id")) + (first_id - 1))
+    return order.numbered(log, ["at", "kind", "ref_id"], "id", first_id)
 
 
 def since(log: DataFrame, at: Column, limit: int | None = None) -> DataFrame:

@@ -173,8 +173,11 @@ def cascade_recall(spark, d):
     episodes, stones, concepts, cues = _t(spark, d, "episodes", "tombstones", "concepts", "cues")
     one = E.unique_episodes(episodes)
     embedded = lambda x, key: V.projected(V.dense(V.hashed(x, key=key), key=key), key=key)
-    made = one.select("id", hv.token_bundle()(R.terms("text")).alias("gist"), hv.signature()(F.col("triples"), F.col("valid_start")).alias("sig"))
-    vectors = made.join(embedded(one.select("id", "text"), "id").withColumnRenamed("hv", "emb"), "id", "left").persist()
+    # a table per tier: only the vectors of a tier that some cue reaches are made
+    vectors = {
+        "gist": one.select("id", hv.token_bundle()(R.terms("text")).alias("hv")), "emb": embedded(one.select("id", "text"), "id"),
+        "sig": one.select("id", hv.signature()(F.col("triples"), F.col("valid_start")).alias("hv")),
+    }
     asked = cues.filter("query_id is not null").select("query_id", F.col("cue").alias("text"))
     matches = R.cascade(cues, episodes, stones, concepts, vectors, embedded(asked, "query_id"))
     out = R.finish(matches, cues, episodes)

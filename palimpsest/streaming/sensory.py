@@ -11,26 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hv
 from palimpsest.functions.text import terms
+from palimpsest.operators.order import numbered
 
 # Frames kept, surprise from which a frame is promoted, episodes looked back at.
 CAPACITY, PROMOTE_AT, LOOK_BACK = 1000, 0.4, 64
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds `pos`, 0-based in the given order, without a single-task sort: sorted ranges plus the count of rows before each."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1)).persist(StorageLevel.DISK_ONLY)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.join(F.broadcast(before), "_p").withColumn("pos", F.col("_b") + F.col("_i")).drop("_m", "_p", "_i", "_b")
-
-
 def surprise(df: DataFrame, words: int = hv.FULL_WORDS, look_back: int = LOOK_BACK, block: int = 4096) -> DataFrame:
     """(id, pos, surprise): 1 - the largest similarity to the `look_back` rows before, in id order.
 
@@ -45,11 +36,12 @@ def surprise(df: DataFrame, words: int = hv.FULL_WORDS, look_back: int = LOOK_BA
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         v = np.array(pdf["hv"].tolist(), dtype=np.int64)
-        out = np.ones(len(pdf))
-        for i in range(len(pdf)):
-            if i:
-                near = v[max(0, i - look_back) : i]
-                out[i] = np.bitwise_count(near ^ v[i]).sum(axis=1).min() / (words * hv.WORD_BITS)
+        least = np.full(len(pdf), words * hv.WORD_BITS, dtype=np.int64)
+        for back in range(1, min(look_back, len(pdf) - 1) + 1):  # all rows against the one so many places before
+            for at in range(back, len(pdf), 512):  # so few that they stay in the processor's cache
+                to = min(at + 512, len(pdf))
+                least[at:to] = np.minimum(least[at:to], np.bitwise_count(v[at:to] ^ v[at - back : to - back]).sum(axis=1, dtype=np.int64))
+        out = least / (words * hv.WORD_BITS)
         out[~pdf["spoken"].to_numpy()] = 0.0
         own = (pdf["home"] == pdf["block"]).to_numpy()
         return pd.DataFrame({"id": pdf["id"][own], "pos": pdf["pos"][own], "surprise": out[own]})
@@ -119,8 +111,8 @@ def promoted_episodes(frames: DataFrame, first_id: int, now: Column) -> DataFram
     provenance = F.struct(F.lit("sensory").alias("source"), none.alias("session_id"), none.alias("trace_id"), F.create_map().cast("map<string,string>").alias("metadata"))
     from palimpsest.operators.extract import TRIPLES
 
-    return frames.filter("promoted").select(
-        (F.row_number().over(Window.orderBy("at", "id")) + (first_id - 1)).cast("long").alias("id"), "text", F.array().cast(TRIPLES).alias("triples"),
+    return numbered(frames.filter("promoted"), ["at", "id"], "new", first_id).select(
+        F.col("new").cast("long").alias("id"), "text", F.array().cast(TRIPLES).alias("triples"),
         F.col("at").alias("valid_start"), F.lit(None).cast("timestamp").alias("valid_end"), now.alias("t_tx_start"), provenance.alias("provenance"),
         F.lit(0.5).alias("confidence"), F.lit(None).cast("long").alias("superseded_by"),
     )

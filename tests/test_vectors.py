@@ -56,11 +56,34 @@ def test_majority_forms_agree(spark, vectors):
     assert (bits(tokens[0].v) == hv.name_bits("a", W)).all() and tokens[1].v == tokens[2].v == [0] * W
 
 
-def test_scan_covers_all_pairs_in_blocks(vectors):
-    q = vectors.select(F.col("id").alias("query_id"), "hv").filter("query_id < 7")
-    got = {(r.query_id, r.id): r.distance for r in hv.scan(q, vectors.select("id", "hv"), W, block=3).collect()}
+def test_ranked_against_brute_force(spark, vectors):
+    rng = random.Random(8)
+    span = {r.id: (rng.choice([None, 5.0, 10.0]), rng.choice([None, 20.0, 30.0])) for r in vectors.collect()}
+    times = spark.createDataFrame([(i, *x) for i, x in span.items()], "id long, start double, end double")
+    ask = {q: (rng.choice([None, 7.0, 25.0]), rng.choice([None, 1.0, 21.0]), rng.choice([None, 6.0, 40.0])) for q in range(9)}
+    queries = vectors.select(F.col("id").alias("query_id"), "hv").join(spark.createDataFrame([(q, *x) for q, x in ask.items()], "query_id long, as_of double, low double, high double"), "query_id")
     v = {r.id: bits(r.hv) for r in vectors.collect()}
-    assert got == {(a, b): (v[a] != v[b]).sum() for a in range(7) for b in v}
+    n = W * hv.WORD_BITS
+
+    def fits(i, t, low, high):
+        start, end = span[i]
+        alive = t is None or (start is not None and start <= t and (end is None or t < end))
+        return alive and (low is None or high is None or (start is not None and start <= high and (start if end is None else end) >= low))
+
+    def phi(a, b):
+        spread = float(a.sum()) * (n - a.sum()) * b.sum() * (n - b.sum())
+        return (n * (a & b).sum() - float(a.sum()) * b.sum()) / np.sqrt(spread) if spread > 0 else 0.0
+
+    for by_phi, floor, k in ((False, None, 4), (False, 0.5, 100), (True, 0.02, 3)):
+        score = (lambda a, b: phi(a, b)) if by_phi else (lambda a, b: 1 - (a != b).sum() / n)
+        got = {(r.query_id, r.id): r.score for r in hv.ranked(queries, vectors.join(times, "id"), k, W, by_phi, floor, block=4).collect()}
+        want = {}
+        for q, x in ask.items():
+            all_ = sorted((-round(score(v[q], v[i]), 12), i) for i in v if fits(i, *x) and (floor is None or score(v[q], v[i]) >= floor))
+            want |= {(q, i): -s for s, i in all_[:k]}
+        assert got == pytest.approx(want)
+    near = {r.id: r.score for r in hv.closest(queries.select("query_id", "hv"), vectors, W, block=4).collect()}
+    assert near == pytest.approx({i: max(1 - (v[q] != v[i]).sum() / n for q in ask) for i in v})
 
 
 def test_scores(spark):
