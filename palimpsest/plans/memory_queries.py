@@ -316,12 +316,16 @@ def active_beliefs(spark, d):
     return B.active_by_key(_beliefs(spark, d))
 
 
-def goal_transitions(spark, d):
+def goal_requests(spark, d):
+    """Events read as requests to the goal of their user."""
     request = {"click": "pause", "view": "resume", "purchase": "complete", "error": "abandon", "signup": "revise"}
     m = F.create_map(*(F.lit(x) for kv in request.items() for x in kv))
     e = table(spark, d, "events")
-    r = e.select(F.col("user_id").alias("goal_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.try_element_at(m, F.col("event_type")).alias("request"))
-    return G.transitions(r)
+    return e.select(F.col("user_id").alias("goal_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.try_element_at(m, F.col("event_type")).alias("request"))
+
+
+def goal_transitions(spark, d):
+    return G.transitions(goal_requests(spark, d))
 
 
 def _unlearn_parts(spark, d):
