@@ -23,7 +23,7 @@ from palimpsest.operators import episodes as E
 from palimpsest.operators import extract as X
 from palimpsest.operators import goals as G
 from palimpsest.operators import recall as R
-from palimpsest.operators import selfmodel, temporal
+from palimpsest.operators import order, selfmodel, temporal
 from palimpsest.operators import unlearn as U
 from palimpsest.sources import jsonl
 from palimpsest.sources.store import TableStore
@@ -33,10 +33,18 @@ from palimpsest.streaming import sensory
 TABLES = {
     "episodes": T.EPISODES, "concepts": T.CONCEPTS, "semantic_atoms": T.ATOMS, "consolidation_log": T.CONSOLIDATION_LOG, "goals": T.GOALS,
     "beliefs": T.BELIEFS, "belief_revisions": T.REVISIONS, "learning_events": T.EVENTS, "self_vectors": T.SELF_VECTORS,
-    "tombstones": T.TOMBSTONES, "sensory_frames": T.FRAMES,
+    "tombstones": T.TOMBSTONES, "sensory_frames": T.FRAMES, "vectors": T.VECTORS,
 }
 
 
+#: Tables that get a new row per change, with `rev`; the newest row of an id holds.
+VERSIONED = ("goals", "beliefs")
+
+
+#: A list of rows that a call returns has no more than this; whole tables are read with `table`.
+MOST_ROWS = 10_000
+
+
 class MemoryError_(RuntimeError):
     """Base of the engine's errors."""
 
@@ -87,9 +95,11 @@ class Recall:
 class MemoryEngine:
     """Operations on the tables of one folder. `words` is the width of its vectors, the same for the folder's life."""
 
-    def __init__(self, spark: SparkSession, root: str, extractor=None, words: int = hv.FULL_WORDS):
+    def __init__(self, spark: SparkSession, root: str, extractor=None, words: int = hv.FULL_WORDS, embedder=None):
+        """`extractor` makes facts of texts, `embedder` vectors: a function of (df with key and text, key) giving (key, hv)."""
         guard(spark)
         self.spark, self.root, self.words = spark, root, words
+        self.embed = embedder or V.hashed_embedder(words)
         self.extractor_loaded = extractor is not None
         self.extract = extractor or X.null_extractor()
         self.store = TableStore(spark, root, TABLES)
@@ -98,7 +108,8 @@ class MemoryEngine:
 
     def table(self, name: str) -> DataFrame:
         """Current rows; where a table keeps versions of a row, the newest."""
-        return self.store.read(name)
+        rows = self.store.read(name)
+        return E.latest(rows, ["id"], ["rev"]) if name in VERSIONED else rows
 
     @staticmethod
     def _now(now: datetime | None) -> datetime:
@@ -123,10 +134,33 @@ class MemoryEngine:
         return rows[0]
 
     def _update(self, name: str, id_: int, **values) -> None:
-        """Rewrites one row; the table is copied to a new version and the pointer switched."""
-        old = self.table(name)
-        kinds = dict(old.dtypes)
-        self.store.replace(name, old.withColumns({c: F.when(F.col("id") == id_, F.lit(v).cast(kinds[c]) if not isinstance(v, list) else F.array(*(F.lit(x) for x in v)).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()}))
+        """Appends the changed row as its newest version."""
+        old = self._one(name, id_).asDict()
+        fields = [f.name for f in self.store.schemas[name].fields]
+        changed = old | values | {"rev": (old["rev"] or 0) + 1}
+        self.store.append(name, self._rows(name, [tuple(changed[f] for f in fields)]))
+
+    @staticmethod
+    def _provenance(source: str, session: str | None) -> Row:
+        return Row(source=source, session_id=session, trace_id=None, metadata={})
+
+    def _stored(self, new: DataFrame, at: datetime) -> None:
+        """Vectors and learning events of new episodes, one append each."""
+        self.store.append("vectors", self._vectors(new))
+        events = order.numbered(new.select(F.col("id").alias("ref_id")), ["ref_id"], "id", self._next("learning_events"))
+        fields = [f for f in self.store.schemas["learning_events"].fields if f.name not in ("id", "kind", "at", "ref_id")]
+        self.store.append("learning_events", events.select("id", F.lit("episode_stored").alias("kind"), F.lit(at).cast("timestamp").alias("at"), "ref_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields)))
+
+    def flush(self) -> list[str]:
+        """Writes tables of many parts as one part each; their names."""
+        return [t for t in TABLES if self.store.compact(t)]
+
+    def install_embedder(self, embedder) -> None:
+        """Another embedder: the stored embeddings are made anew with it, signatures and gists stay."""
+        self.embed = embedder
+        old = self.signatures().drop("emb")
+        emb = self.embed(self.episodes().select("id", "text"), "id").withColumnRenamed("hv", "emb")
+        self.store.replace("vectors", old.join(emb, "id", "left"))
 
     # -- observing and reading
 
@@ -136,10 +170,10 @@ class MemoryEngine:
 
     def observe_batch(self, texts: list[str], source: str = "unknown", session: str | None = None, now: datetime | None = None) -> list[int]:
         df = self.spark.createDataFrame(list(enumerate(texts)), "pos long, text string")
-        return self.observe_table(df, source, session, now)
+        return list(self.observe_table(df, source, session, now))
 
-    def observe_table(self, texts: DataFrame, source: str = "unknown", session: str | None = None, now: datetime | None = None) -> list[int]:
-        """Stores a table (pos, text, [observed_at]): facts, aliases, concepts, episodes and events in one append each."""
+    def observe_table(self, texts: DataFrame, source: str = "unknown", session: str | None = None, now: datetime | None = None) -> range:
+        """Stores a table (pos, text, [observed_at]) and returns the ids given: facts, aliases, concepts, episodes and events in one append each."""
         at = self._now(now)
         first = self._next("episodes")
         new = X.observe(texts, F.lit(at).cast("timestamp"), first, self.extract, source, session).persist()
@@ -156,12 +190,10 @@ class MemoryEngine:
             fact = F.struct(F.coalesce("sc", "t.subject").alias("subject"), F.col("t.predicate").alias("predicate"), F.coalesce("oc", "t.object").alias("object"), F.col("t.confidence").alias("confidence"))
             facts = mapped.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", fact.alias("f")))).alias("fs")).select("id", F.transform("fs", lambda x: x["f"]).alias("triples"))
             new = new.drop("triples").join(facts, "id", "left").withColumn("triples", F.coalesce("triples", F.array().cast(X.TRIPLES)))
+        new = new.persist()
         self.store.append("episodes", new)
-        ids = [r.id for r in new.select("id").orderBy("id").collect()]
-        start = self._next("learning_events")
-        none = [None] * 8
-        self.store.append("learning_events", self._rows("learning_events", [(start + i, "episode_stored", at, e, *none) for i, e in enumerate(ids)]))
-        return ids
+        self._stored(new, at)
+        return range(first, first + new.count())
 
     def episodes(self) -> DataFrame:
         return E.unique_episodes(self.table("episodes"))
@@ -198,15 +230,19 @@ class MemoryEngine:
         """Episodes of a window, of a subject if given; an unknown subject has none."""
         ids = None if subject is None else self._concepts_named(subject)
         at = lambda t: F.lit(t).cast("timestamp")
-        return E.timeline(self.episodes(), self.table("tombstones"), self.links(), ids, at(low), at(high), limit).collect()
+        return E.timeline(self.episodes(), self.table("tombstones"), self.links(), ids, at(low), at(high), MOST_ROWS if limit is None else limit).collect()
+
+    def _vectors(self, eps: DataFrame) -> DataFrame:
+        """(id, sig, gist, emb) of episodes; an episode without facts has its gist as signature."""
+        made = eps.select("id", hv.token_bundle(self.words)(terms("text")).alias("gist"), hv.signature(self.words)(F.col("triples"), F.col("valid_start")).alias("sig"))
+        emb = self.embed(eps.select("id", "text"), "id").withColumnRenamed("hv", "emb")
+        return made.join(emb, "id", "left").select("id", F.coalesce("sig", "gist").alias("sig"), "gist", "emb")
 
     def signatures(self) -> DataFrame:
-        """(id, sig, gist, emb) of all episodes; an episode without facts has its gist as signature."""
-        eps = self.episodes()
-        facts = hv.bundle_groups(hv.episode_members(eps, self.words), "id", "hv", self.words).select("id", F.col("hv").alias("sig"))
-        gist = eps.select("id", hv.token_bundle(self.words)(terms("text")).alias("gist"))
-        emb = V.projected(V.dense(V.hashed(eps.select("id", "text"))), self.words).withColumnRenamed("hv", "emb")
-        return gist.join(facts, "id", "left").join(emb, "id", "left").select("id", F.coalesce("sig", "gist").alias("sig"), "gist", "emb")
+        """(id, sig, gist, emb) of all episodes as stored with them; those of rows stored without are made now."""
+        have = self.table("vectors").dropDuplicates(["id"])
+        missing = self.episodes().join(have.select("id"), "id", "left_anti")
+        return have if missing.isEmpty() else have.unionByName(self._vectors(missing))
 
     def recall(self, query: Query) -> Recall:
         """Ranked matches of one cue."""
@@ -226,9 +262,8 @@ class MemoryEngine:
         query = query or Query("")
         eps, stones, concepts = self.episodes(), self.table("tombstones"), self.table("concepts")
         deep = S.TIERS.index(query.tier_floor) >= 2
-        vectors = self.signatures().persist() if deep else None
-        asked = cues.select("query_id", F.col("cue").alias("text"))
-        embedded = V.projected(V.dense(V.hashed(asked, key="query_id"), key="query_id"), self.words, key="query_id") if deep else None
+        vectors = self.signatures() if deep else None
+        embedded = self.embed(cues.select("query_id", F.col("cue").alias("text")), "query_id") if deep else None
         found = R.cascade(cues, eps, stones, concepts, vectors, embedded, query.tier_floor, self.words)
         if query.goal_bias_weight > 0:
             sig = (vectors if vectors is not None else self.signatures()).select("id", F.col("sig").alias("hv"))
@@ -298,21 +333,29 @@ class MemoryEngine:
         sig = self.signatures().select("id", F.col("sig").alias("hv"))
         jsonl.export(E.live(self.episodes(), self.table("tombstones")), path, sig)
 
-    def import_jsonl(self, path: str) -> int:
-        """Adds the episodes of a file; later ids are minted after the largest."""
-        rows = jsonl.read(self.spark, path).persist()
-        self.store.append("episodes", rows.drop("hv"))
+    def import_jsonl(self, path: str, now: datetime | None = None) -> int:
+        """Adds the episodes of a file with concepts for the names in their facts, vectors and events; later ids are minted after the largest."""
+        rows = jsonl.read(self.spark, path).drop("hv").persist()
+        said = rows.select(F.explode("triples").alias("t"))
+        names = said.select(F.col("t.subject").alias("name")).unionByName(said.select(F.col("t.object").alias("name"))).distinct()
+        known = self.table("concepts").select(F.col("canonical_name").alias("name"))
+        fresh = order.numbered(names.filter("name is not null").join(known, "name", "left_anti"), ["name"], "id", self._next("concepts"))
+        none = F.lit(None).cast("string")
+        self.store.append("concepts", fresh.select("id", F.col("name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), none.alias("entity_type")))
+        self.store.append("episodes", rows)
+        self._stored(rows, self._now(now))
         return rows.count()
 
     # -- goals
 
-    def set_goal(self, description: str, parent_id: int | None = None, deadline: datetime | None = None, criteria: list[str] | None = None, now: datetime | None = None) -> int:
+    def set_goal(self, description: str, parent_id: int | None = None, deadline: datetime | None = None, criteria: list[str] | None = None, now: datetime | None = None,
+                 source: str = "unknown", session: str | None = None) -> int:
         at, id_ = self._now(now), self._next("goals")
         vector = self._text_vector(description)
         if parent_id is not None:
             parent = self.table("goals").filter(F.col("id") == parent_id).select("hv").collect()
             vector = [a ^ b for a, b in zip(vector, parent[0].hv)] if parent else vector
-        self.store.append("goals", self._rows("goals", [(id_, parent_id, description, G.ACTIVE, None, [], None, deadline, criteria or [], at, at, vector)]))
+        self.store.append("goals", self._rows("goals", [(id_, parent_id, description, G.ACTIVE, None, [], None, deadline, criteria or [], at, at, self._provenance(source, session), vector, 0)]))
         self._event("goal_set", at, ref_id=id_, text=description)
         return id_
 
@@ -361,12 +404,13 @@ class MemoryEngine:
     def active_goals(self) -> list[Row]:
         return G.active(self.table("goals")).collect()
 
-    def all_goals(self) -> list[Row]:
-        return self.table("goals").orderBy("id").collect()
+    def all_goals(self, limit: int = MOST_ROWS) -> list[Row]:
+        return self.table("goals").orderBy("id").limit(limit).collect()
 
     # -- beliefs
 
-    def assert_belief(self, claim: str, confidence: float = 0.5, subject: str = "", predicate: str = "", object: str = "", evidence: list[int] | None = None, now: datetime | None = None) -> int:
+    def assert_belief(self, claim: str, confidence: float = 0.5, subject: str = "", predicate: str = "", object: str = "", evidence: list[int] | None = None, now: datetime | None = None,
+                      source: str = "unknown", session: str | None = None) -> int:
         """A new belief, or the evidence added to the active one on the same subject and predicate."""
         at, confidence = self._now(now), min(1.0, max(0.0, confidence))
         if subject and predicate:
@@ -381,8 +425,7 @@ class MemoryEngine:
                 self._revision(old.id, old.confidence, value, fresh[-1] if fresh else None, True, "asserted again", at)
                 return old.id
         id_ = self._next("beliefs")
-        provenance = Row(source="unknown", session_id=None, trace_id=None, metadata={})
-        self.store.append("beliefs", self._rows("beliefs", [(id_, claim, subject, predicate, object, confidence, evidence or [], [], at, None, provenance, self._text_vector(claim))]))
+        self.store.append("beliefs", self._rows("beliefs", [(id_, claim, subject, predicate, object, confidence, evidence or [], [], at, None, self._provenance(source, session), self._text_vector(claim), 0)]))
         self._event("belief_asserted", at, ref_id=id_, text=claim, confidence=confidence)
         return id_
 
@@ -423,8 +466,8 @@ class MemoryEngine:
     def belief_signature(self, id_: int) -> list[int]:
         return list(self._one("beliefs", id_).hv)
 
-    def all_beliefs(self) -> list[Row]:
-        return self.table("beliefs").orderBy("id").collect()
+    def all_beliefs(self, limit: int = MOST_ROWS) -> list[Row]:
+        return self.table("beliefs").orderBy("id").limit(limit).collect()
 
     # -- unlearning
 
@@ -452,7 +495,8 @@ class MemoryEngine:
         x = beliefs.join(fixed, "id", "left").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
         ends = (F.col("own") | F.col("withdrawn")) & F.col("t_valid_end").isNull()
         x = x.withColumns({"confidence": F.when(F.col("own"), 0.0).otherwise(F.col("c2")), "evidence": F.col("e2"), "contradictions": F.col("x2"), "t_valid_end": F.when(ends, F.lit(at).cast("timestamp")).otherwise(F.col("t_valid_end"))})
-        self.store.replace("beliefs", x.drop("c2", "e2", "x2", "corrected", "withdrawn", "own"))
+        touched = x.filter("own or corrected").withColumn("rev", F.coalesce("rev", F.lit(0)) + 1)
+        self.store.append("beliefs", touched.drop("c2", "e2", "x2", "corrected", "withdrawn", "own"))
         return {**sizes, "self_vector_drift": drift, "audit_event_id": audit}
 
     def restore_within_window(self, audit_event_id: int, now: datetime | None = None) -> int:
@@ -466,17 +510,17 @@ class MemoryEngine:
             self.store.replace("tombstones", U.restore(stones, audit_event_id, at))
         return n
 
-    def unlearn_history(self) -> list[Row]:
-        return E.latest(self.table("tombstones"), ["kind", "id"], ["tombstoned_at"]).orderBy("kind", "id").collect()
+    def unlearn_history(self, limit: int = MOST_ROWS) -> list[Row]:
+        return E.latest(self.table("tombstones"), ["kind", "id"], ["tombstoned_at"]).orderBy("kind", "id").limit(limit).collect()
 
     # -- learning log and sensory ring
 
     def what_did_i_learn(self, since: datetime, limit: int | None = None) -> list[Row]:
         x = self.table("learning_events").filter(F.col("at") >= F.lit(since).cast("timestamp")).orderBy("at", "id")
-        return (x.limit(limit) if limit is not None else x).collect()
+        return x.limit(MOST_ROWS if limit is None else limit).collect()
 
-    def all_learning_events(self) -> list[Row]:
-        return self.table("learning_events").orderBy("at", "id").collect()
+    def all_learning_events(self, limit: int = MOST_ROWS) -> list[Row]:
+        return self.table("learning_events").orderBy("at", "id").limit(limit).collect()
 
     def learning_event_count(self) -> int:
         return self.table("learning_events").count()
@@ -491,7 +535,11 @@ class MemoryEngine:
         self.store.append("sensory_frames", self._rows("sensory_frames", [(id_, text, at, surprise, promoted)]))
         if promoted:
             frame = self.table("sensory_frames").filter(F.col("id") == id_)
-            self.store.append("episodes", sensory.promoted_episodes(frame, self._next("episodes"), F.lit(at).cast("timestamp")))
+            new = sensory.promoted_episodes(frame, self._next("episodes"), F.lit(at).cast("timestamp")).persist()
+            self.store.append("episodes", new)
+            self._stored(new, at)
+        if id_ % sensory.CAPACITY == 0:  # the oldest frames leave the ring
+            self.store.replace("sensory_frames", sensory.kept(self.table("sensory_frames")))
         return id_, surprise, promoted
 
     def sensory_frames(self, limit: int = 100) -> list[Row]:

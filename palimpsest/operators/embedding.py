@@ -117,11 +117,16 @@ def static_embedding(pieces: DataFrame, table: DataFrame, dim: int, skip: list[i
     )
 
 
-def cosine_top_k(vectors: DataFrame, k: int, stride: int = 20) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest rows of every row whose id is divisible by `stride`, by cosine.
+def hashed_embedder(words: int = hv.FULL_WORDS):
+    """The default embedder: a function of (df, key) that gives (key, hv) for the texts of df."""
+    return lambda df, key: projected(dense(hashed(df, key=key), key=key), words, key=key)
 
-    The queries are walked in blocks against all rows; the rows themselves are never moved.
-    """
-    from palimpsest.operators.search import blocked_top_k
 
-    return blocked_top_k(vectors.filter(F.col("vec_id") % stride == 0), vectors, k)
+def static_embedder(vocabulary: dict[str, int], table: DataFrame, dim: int, skip: list[int], words: int = hv.FULL_WORDS):
+    """An embedder over a table of word-piece vectors, as `hashed_embedder`."""
+
+    def embed(df: DataFrame, key: str) -> DataFrame:
+        pieces = df.select(key, word_pieces(vocabulary)(basic_tokens(F.col("text"))).alias("pieces"))
+        return projected(static_embedding(pieces, table, dim, skip, key), words, dim, key)
+
+    return embed

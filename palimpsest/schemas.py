@@ -15,11 +15,11 @@ ATOMS = "id long, concept_id long, claim string, evidence array<long>, evidence_
 CONSOLIDATION_LOG = "at timestamp, scanned long, atoms_created long, contradictions long"
 GOALS = (
     "id long, parent_id long, description string, state string, paused_reason string, completed_evidence array<long>, abandoned_reason string, "
-    "deadline timestamp, success_criteria array<string>, created_at timestamp, updated_at timestamp, hv array<bigint>"
+    f"deadline timestamp, success_criteria array<string>, created_at timestamp, updated_at timestamp, provenance {PROVENANCE}, hv array<bigint>, rev long"
 )
 BELIEFS = (
     "id long, claim string, subject string, predicate string, object string, confidence double, evidence array<long>, contradictions array<long>, "
-    f"t_valid_start timestamp, t_valid_end timestamp, provenance {PROVENANCE}, hv array<bigint>"
+    f"t_valid_start timestamp, t_valid_end timestamp, provenance {PROVENANCE}, hv array<bigint>, rev long"
 )
 REVISIONS = "belief_id long, seq long, previous double, confidence double, episode_id long, supports boolean, reason string, at timestamp"
 EVENTS = (
@@ -28,6 +28,7 @@ EVENTS = (
 )
 SELF_VECTORS = "seq long, at timestamp, hv array<bigint>"
 TOMBSTONES = "kind int, id long, tombstoned_at timestamp, reason string, audit_event_id long"
+VECTORS = "id long, sig array<bigint>, gist array<bigint>, emb array<bigint>"
 FRAMES = "id long, text string, at timestamp, surprise double, promoted boolean"
 
 # Kinds of learning events.

@@ -1,7 +1,7 @@
 """Versioned tables in a folder: new rows are appended as parts, rewrites become a new version, a pointer switches.
 
-A reader sees the parts that the pointer names, so a write that fails half way changes nothing.
-One writer per table is assumed. All access goes through the file system of the path.
+A reader sees the parts that the newest pointer names. Pointers are numbered and never overwritten, so a write that
+fails half way changes nothing, and of two writers at once the second one fails instead of undoing the first. All access goes through the file system of the path.
 """
 
 from __future__ import annotations
@@ -33,25 +33,32 @@ class TableStore:
         elif have.get("version") != FORMAT_VERSION:
             raise StoreError(f"format {have.get('version')} is not {FORMAT_VERSION}")
 
+    def _versions(self, name: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.root}/{name}.v*"))
+        return sorted(int(f.getPath().getName().rpartition(".v")[2]) for f in found or [])
+
     def _load(self, name: str) -> dict | None:
-        p = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(p):
+        versions = self._versions(name)
+        if not versions:
             return None
-        stream = self._fs.open(p)
+        stream = self._fs.open(self._path(f"{self.root}/{name}.v{versions[-1]:012d}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def _save(self, name: str, value: dict) -> None:
-        target, part = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(part, True)
+        versions = self._versions(name)
+        target = self._path(f"{self.root}/{name}.v{(versions[-1] if versions else 0) + 1:012d}")
+        part = self._path(f"{self.root}/_new-{name}-{uuid.uuid4().hex}")
+        out = self._fs.create(part, False)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(part, target):
-            raise StoreError(f"{name} could not be switched")
+        if self._fs.exists(target) or not self._fs.rename(part, target):
+            self._fs.delete(part, False)
+            raise StoreError(f"{name} was written by someone else meanwhile")
+        for old in versions[:-1]:  # the one before stays for readers that have just looked it up
+            self._fs.delete(self._path(f"{self.root}/{name}.v{old:012d}"), False)
 
     def parts(self, table: str) -> list[str]:
         return (self._load(f"{table}.json") or {"parts": []})["parts"]
@@ -82,3 +89,10 @@ class TableStore:
         self._save(f"{table}.json", {"parts": [self._write(table, df)]})
         for p in old:
             self._fs.delete(self._path(f"{self.root}/{table}/{p}"), True)
+
+    def compact(self, table: str, most: int = 8) -> bool:
+        """Writes a table of more than `most` parts as one; whether it did."""
+        if len(self.parts(table)) <= most:
+            return False
+        self.replace(table, self.read(table))
+        return True

@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 
 from palimpsest.api import InvalidTransition, MemoryEngine, Query, RestoreExpired, UnknownId
+from palimpsest.operators import embedding as V
 from palimpsest.operators import extract as X
+from palimpsest.sources.store import StoreError
 from palimpsest.tools import Tools
 
 MON = datetime(2026, 5, 11)
@@ -105,6 +107,32 @@ def test_consolidation_and_contradictions(spark, tmp_path):
     assert kinds.count("consolidation_run") == 2 and kinds.count("self_vector_updated") == 1
 
 
+def test_vectors_are_stored_and_embedders_plug_in(engine, spark, tmp_path):
+    stored = {r.id: r for r in engine.table("vectors").collect()}
+    assert set(stored) == {1, 2, 3, 4, 5} and all(len(r.sig) == len(r.gist) == len(r.emb) == WORDS for r in stored.values())
+    vocabulary = {"[UNK]": 0, "petra": 1, "goran": 2, "seedlings": 3, "glass": 4}
+    table = spark.createDataFrame([(i, [float(i == j) for j in range(5)]) for i in range(5)], "piece int, vector array<double>")
+    engine.install_embedder(V.static_embedder(vocabulary, table, 5, [0], WORDS))
+    changed = {r.id: r for r in engine.table("vectors").collect()}
+    assert all(changed[i].gist == stored[i].gist and changed[i].emb != stored[i].emb for i in stored)
+    assert engine.observe("Petra rested", now=MON) == 6 and engine.signatures().count() == 6
+
+
+def test_versions_and_compaction(engine):
+    g = engine.set_goal("tidy the shed", source="chat", session="s9", now=MON)
+    for _ in range(5):
+        engine.pause_goal(g)
+        engine.resume_goal(g)
+    assert engine.get_goal(g).rev == 10 and engine.get_goal(g).provenance.session_id == "s9" and len(engine.all_goals()) == 1
+    b = engine.assert_belief("goran is thorough", 0.7, source="chat", now=MON)
+    assert engine.get_belief(b).provenance.source == "chat"
+    assert "goals" in engine.flush() and len(engine.store.parts("goals")) == 1 and engine.get_goal(g).rev == 10
+    rows, versions = engine.store.read("goals"), engine.store._versions
+    with pytest.raises(StoreError):  # two writers at once: the pointer of the second is there already
+        engine.store._versions = lambda name: versions(name)[:-1]
+        engine.store.append("goals", rows)
+
+
 def test_concepts_by_name(engine):
     a = engine.create_concept("New Place", "place")
     assert engine.create_concept("New Place") == a and engine.concept_name(a) == "New Place"
