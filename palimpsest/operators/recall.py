@@ -11,6 +11,12 @@ episodes come back in id order. A null k counts as 10, a null min_confidence as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +24,7 @@ from palimpsest.functions import hv
 from palimpsest.functions import scoring as S
 from palimpsest.functions.text import terms
 from palimpsest.operators import episodes as E
-from palimpsest.session import checkpointed
+from palimpsest.session import checkpointed, stored
 
 MATCH = ["query_id", "id", "score", "confidence", "tier"]
 
@@ -77,11 +83,93 @@ def lexical_scores(weights: DataFrame, posts: DataFrame) -> DataFrame:
     return posts.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"), F.max("achievable").alias("achievable"))
 
 
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def _timed(cues: DataFrame) -> DataFrame:
+    return cues.select("query_id", _micros(F.col("as_of")).alias("as_of"), _micros(F.col("window_from")).alias("low"), _micros(F.col("window_to")).alias("high"), "subject")
+
+
+def _alive(directory: DataFrame) -> DataFrame:
+    return directory.filter("not tombstoned").select("id", _micros(F.col("valid_start")).alias("start"), _micros(F.col("valid_end")).alias("end"))
+
+
+def lexical_best(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory: DataFrame, block: int = 1_024, rows: int = 4_096) -> DataFrame:
+    """(query_id, id, score): the best rows of each cue by the summed weights of the terms they hold, over all live rows it allows.
+
+    The cues are a stated set, walked in blocks of bounded size; a task adds up the weights of its own rows for a
+    block and keeps the best of each cue, so no pair of cue and row leaves it. Terms go by 64-bit hashes; scores are
+    rounded to 9 places, so that ties do not hang on the order of the sum. Subjects are not looked at here.
+    """
+    session, schema, k = posts.sparkSession, "query_id long, id long, score double", most(cues)
+    held = posts.groupBy("id").agg(F.collect_list(F.xxhash64("term")).alias("hs")).join(_alive(directory), "id")
+    held = stored(held.select("id", "hs", F.col("start").cast("double"), F.col("end").cast("double")))  # read once per block
+    terms_of = weights.groupBy("query_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "w")).alias("ws"))
+    asked = _timed(cues).join(terms_of, "query_id").select("query_id", "as_of", "low", "high", "ws").toLocalIterator()
+    out = session.createDataFrame([], schema)
+    while taken := list(islice(asked, block)):
+        h = np.array([x.h for r in taken for x in r.ws], dtype=np.int64)
+        order = np.argsort(h, kind="stable")
+        q = np.repeat(np.arange(len(taken)), [len(r.ws) for r in taken])[order]
+        w = np.array([x.w for r in taken for x in r.ws])[order]
+        known, first, many = np.unique(h[order], return_index=True, return_counts=True)
+        times = np.array([[np.nan if t is None else float(t) for t in (r.as_of, r.low, r.high)] for r in taken])
+        sent = session.sparkContext.broadcast((np.array([r.query_id for r in taken], dtype=np.int64), times, known, first, many, q, w))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qid, times, known, first, many, q, w = sent.value
+            for b in batches:
+                for at in range(0, b.num_rows, rows):
+                    part = b.slice(at, rows)
+                    n = part.num_rows
+                    ids = part.column("id").to_numpy()
+                    start, end = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("start", "end"))
+                    lens = pc.list_value_length(part.column("hs")).to_numpy()
+                    have = part.column("hs").flatten().to_numpy()
+                    row = np.repeat(np.arange(n), lens)
+                    place = np.minimum(np.searchsorted(known, have), len(known) - 1)
+                    hit = known[place] == have
+                    place, row = place[hit], row[hit]
+                    if not len(place):
+                        continue
+                    each = many[place]
+                    entry = np.repeat(first[place] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+                    cell = q[entry] * n + np.repeat(row, each)
+                    scores = np.bincount(cell, w[entry], len(qid) * n).reshape(len(qid), n)
+                    found = []
+                    for i in np.flatnonzero(np.bincount(q[entry], minlength=len(qid))):
+                        fits = scores[i] > 0
+                        t, low, high = times[i]
+                        if not np.isnan(t):
+                            fits &= (start <= t) & ((t < end) | np.isnan(end))
+                        if not (np.isnan(low) or np.isnan(high)):
+                            fits &= (start <= high) & (np.where(np.isnan(end), start, end) >= low)
+                        may = np.flatnonzero(fits)
+                        if len(may):
+                            s = np.round(scores[i, may], 9)
+                            best = hv._least(-s, ids[may], min(k, len(may)))
+                            found.append((i, ids[may][best], s[best]))
+                    if found:
+                        yield pa.RecordBatch.from_pydict({
+                            "query_id": np.repeat(qid[[f[0] for f in found]], [len(f[1]) for f in found]),
+                            "id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]),
+                        })
+
+        out = out.unionByName(held.mapInArrow(run, schema))
+    return top_k(out, cues)
+
+
 def tier_lexical(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory: DataFrame) -> DataFrame:
     """Tier L: all live episodes that share a term with the cue."""
-    scored = allowed(lexical_scores(weights, posts), cues, directory)
-    best = top_k(scored, cues)
-    return best.withColumn("confidence", S.lexical_confidence(F.col("score"), F.col("achievable"))).withColumn("tier", F.lit("Lexical")).select(*MATCH)
+    best = lexical_best(cues, weights, posts, directory)
+    return _lexical(best, weights)
+
+
+def _lexical(best: DataFrame, weights: DataFrame) -> DataFrame:
+    reach = weights.select("query_id", "achievable").distinct()
+    x = best.select("query_id", "id", "score").join(reach, "query_id")
+    return x.withColumn("confidence", S.lexical_confidence(F.col("score"), F.col("achievable"))).withColumn("tier", F.lit("Lexical")).select(*MATCH)
 
 
 def subject_candidates(cues: DataFrame, concepts: DataFrame, links: DataFrame) -> DataFrame:
@@ -140,10 +228,6 @@ def structured_cues(cues: DataFrame, concepts: DataFrame, words: int) -> DataFra
     return hv.bundle_groups(names.select("query_id", F.explode(roles).alias("hv")), "query_id", "hv", words).select("query_id", "hv")
 
 
-def _micros(t: Column) -> Column:
-    return F.unix_micros(t.cast("timestamp"))
-
-
 def vector_scores(queries: DataFrame, stored: DataFrame, cues: DataFrame, directory: DataFrame, allow: DataFrame, words: int, by_phi: bool, floor: float | None) -> DataFrame:
     """(query_id, id, score): the best rows of each query vector over all stored vectors that its cue allows.
 
@@ -151,9 +235,8 @@ def vector_scores(queries: DataFrame, stored: DataFrame, cues: DataFrame, direct
     of `allow` alone, a join.
     """
     k = min(most(cues), S.SCAN_HEAD)
-    asked = queries.join(cues.select("query_id", _micros(F.col("as_of")).alias("as_of"), _micros(F.col("window_from")).alias("low"), _micros(F.col("window_to")).alias("high"), "subject"), "query_id")
-    alive = directory.filter("not tombstoned").select("id", _micros(F.col("valid_start")).alias("start"), _micros(F.col("valid_end")).alias("end"))
-    known = stored.filter("hv is not null").join(alive, "id")
+    asked = queries.join(_timed(cues), "query_id")
+    known = stored.filter("hv is not null").join(_alive(directory), "id")
     free = hv.ranked(asked.filter("subject is null"), known, k, words, by_phi, floor)
     named = asked.filter("subject is not null").select("query_id", F.col("hv").alias("q")).join(allow, "query_id").join(stored.filter("hv is not null").select("id", "hv"), "id")
     n, distance = words * hv.WORD_BITS, hv.hamming(F.col("q"), F.col("hv"))
@@ -196,14 +279,16 @@ def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concept
         out = out.unionByName(checkpointed(rows.select(*MATCH)))
 
     def scanned(queries: DataFrame, column: str, left: DataFrame, by_phi: bool, least: float | None) -> DataFrame:
-        stored = vectors[column] if isinstance(vectors, dict) else vectors.select("id", F.col(column).alias("hv"))
-        return vector_scores(queries, stored, left, directory, allow, words, by_phi, least)
+        known = vectors[column] if isinstance(vectors, dict) else vectors.select("id", F.col(column).alias("hv"))
+        return vector_scores(queries, known, left, directory, allow, words, by_phi, least)
 
     if deepest >= 1:
         left = _left(cues, out)
-        lexical = lexical_scores(weights.join(left.select("query_id"), "query_id", "left_semi"), posts)
-        best = top_k(allowed(restricted(lexical), left, directory), left)
-        add(best.withColumn("confidence", S.lexical_confidence(F.col("score"), F.col("achievable"))).withColumn("tier", F.lit("Lexical")))
+        own = weights.join(left.select("query_id"), "query_id", "left_semi")
+        add(_lexical(lexical_best(left.filter("subject is null"), own, posts, directory), own))
+        named = left.filter("subject is not null")
+        scored = lexical_scores(own.join(named.select("query_id"), "query_id", "left_semi"), posts)
+        add(_lexical(top_k(allowed(restricted(scored), named, directory), named), own))
     if vectors is None:
         return out
     left = _left(spoken, out)

@@ -266,3 +266,26 @@ def test_entry_contract():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {"p1_found", "p3_found"} <= set(entry.queries())
+
+
+def test_lexical_ranking_in_tasks_agrees_with_the_join(spark):
+    """Cue blocks and row chunks of any size, validity and windows, k above 512: the same rows as summing up a join."""
+    from palimpsest.operators import recall
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    eps = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) or None, DAY + timedelta(days=rng.randint(0, 50)) if i % 11 else None, DAY + timedelta(days=60) if i % 3 else None, DAY) for i in range(700)]
+    episodes_ = spark.createDataFrame(eps, "id long, text string, valid_start timestamp_ntz, valid_end timestamp_ntz, t_tx_start timestamp_ntz")
+    stones = spark.createDataFrame([(0, i) for i in range(0, 700, 13)], "kind int, id long")
+    asked = [(q, " ".join(rng.choice([*words, "zz"]) for _ in range(rng.randint(0, 5))), rng.choice([None, DAY + timedelta(days=30)]), rng.choice([None, 3, 600])) for q in range(25)] + [(90, None, None, 2), (91, " ".join(words), None, 600)]
+    cues = recall.with_defaults(spark.createDataFrame(asked, "query_id long, cue string, as_of timestamp_ntz, k int"))
+    cues = cues.withColumn("window_from", F.when(F.col("query_id") % 4 == 0, F.lit(DAY).cast("timestamp_ntz"))).withColumn("window_to", F.when(F.col("query_id") % 4 == 0, F.lit(DAY + timedelta(days=20)).cast("timestamp_ntz")))
+    posts, directory = episodes.postings(episodes_).persist(), episodes.scan_directory(episodes_, stones).persist()
+    weights = recall.cue_weights(cues, posts, directory).persist()
+    want = recall.top_k(recall.allowed(recall.lexical_scores(weights, posts), cues, directory), cues)
+    key = lambda df: {(r.query_id, r.id, round(r.score, 6)) for r in df.select("query_id", "id", "score").collect()}
+    expected = key(want)
+    assert sum(1 for x in expected if x[0] == 91) > 512
+    assert key(recall.lexical_best(cues, weights, posts, directory, 7, 50)) == expected == key(recall.lexical_best(cues, weights, posts, directory))
+    none = recall.with_defaults(spark.createDataFrame([], "query_id long, cue string"))
+    assert recall.lexical_best(none, recall.cue_weights(none, posts, directory), posts, directory).count() == 0
