@@ -12,6 +12,10 @@ shared order of terms from rare to common, the larger class and the union of the
 members then share two terms among the first few of each (see `lookup_keys`): the columns
 of the matrix are read only there, a rare one alone, common ones in pairs. Opened groups
 are compared by whole term sets in integers; no estimate decides, and no pair is lost.
+
+Disk is bounded by doing one step at a time: each writes its rows densely and deletes its
+shuffle files and the tables that no later step reads. The matrix is read in ROUNDS parts of
+its columns. Whole term sets move only for groups with a member that passes on its bits.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import distinct_terms
 from palimpsest.llm.termfreq import records
+from palimpsest.session import dropped, staged
 
 #: Buckets of the term-frequency sketch that fixes the order of terms; its size never grows with the data.
 SKETCH_BUCKETS = 1 << 18
@@ -42,24 +46,29 @@ MIN_HASHES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC
 BITS = [f"b{i}" for i in range(ROW_WORDS)]
 #: Keys that more than this many classes share are spread over several tasks; at most so many such keys.
 HOT_KEY, MAX_HOT_KEYS, SALTS = 2_000, 4_096, 16
+#: Parts of the columns that are looked up one after the other.
+ROUNDS = 8
 
 
 def classes(recs: DataFrame, min_terms: int) -> tuple[DataFrame, DataFrame]:
     """(class_id, n, hs) per distinct term set of at least `min_terms`, and membership (class_id, id)."""
     hs = F.array_sort(F.transform(distinct_terms("text"), lambda t: F.xxhash64(t)))
     sets = recs.select("id", hs.alias("hs")).filter(F.size("hs") >= min_terms)
-    # written to disk once: the sketch, the matrix and the membership all start from it
-    keyed = sets.withColumn("k1", F.xxhash64("hs")).withColumn("k2", F.hash("hs")).persist(StorageLevel.DISK_ONLY)
-    one = keyed.groupBy("k1", "k2").agg(F.min_by("hs", "id").alias("hs"), F.min("id").alias("class_id"))
-    one = one.select("class_id", F.size("hs").alias("n"), "hs", "k1", "k2").persist(StorageLevel.DISK_ONLY)
-    members = keyed.select("id", "k1", "k2").join(one.select("class_id", "k1", "k2"), ["k1", "k2"]).select("class_id", "id")
-    return one.drop("k1", "k2"), members
+    keyed = staged(sets.withColumn("k1", F.xxhash64("hs")).withColumn("k2", F.hash("hs")))
+    first = keyed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
+    members = staged(keyed.select("id", "k1", "k2").join(first, ["k1", "k2"]).select("class_id", "id"))
+    own = members.filter("id = class_id").select("id")
+    one = staged(keyed.join(own, "id", "left_semi").select(F.col("id").alias("class_id"), F.size("hs").alias("n"), "hs"))
+    dropped(keyed)
+    return one, members
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
     """How many classes hold a term of each bucket: SKETCH_BUCKETS numbers, whatever the data."""
     bucket = F.pmod("h", F.lit(SKETCH_BUCKETS)).cast("int").alias("b")
-    rows = sets.select(F.explode("hs").alias("h")).groupBy(bucket).agg(F.count("*").alias("c")).toPandas()
+    held = staged(sets.select(F.explode("hs").alias("h")).groupBy(bucket).agg(F.count("*").alias("c")))
+    rows = held.toPandas()
+    dropped(held)
     counts = np.zeros(SKETCH_BUCKETS, dtype=np.int64)
     counts[rows["b"].to_numpy()] = rows["c"].to_numpy()
     return counts
@@ -101,17 +110,18 @@ def lookup_keys(ordered: np.ndarray, common: np.ndarray, percent: int) -> tuple[
     Two sets that share s terms have l of them among all but s - l of each in the common order. The larger set of a pair
     shares at least `percent` % of its own terms, the smaller one more of its own, so it lists few. With l = 2 both
     terms are in both heads: a rare one is a key by itself, two common ones are a key together. Pairs with a set of more
-    than LONG_SET terms go by single terms, l = 1, as their pairs would be too many.
+    than LONG_SET terms go by single terms, l = 1, as their pairs would be too many. Keys are cut to 32 bits: where two
+    fall together, a group more is looked at.
     """
     n = len(ordered)
     asked = _keys(ordered, common, -(-n * percent // 100), n > LONG_SET, n <= LONG_SET)
     listed = _keys(ordered, common, _least_shared(n, percent), n * 100 // percent >= LONG_SET, n <= LONG_SET)
-    return asked, listed
+    return asked.astype(np.int32), listed.astype(np.int32)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(k) for k in parts])])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
 
 
 def shaped(sets: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +162,7 @@ def shaped(sets: DataFrame, percent: int) -> DataFrame:
                 ["class_id", "n", "hs", "asked", "listed", "seed", *BITS],
             )
 
-    schema = "class_id long, n int, hs array<long>, asked array<long>, listed array<long>, seed long, " + ", ".join(f"{c} long" for c in BITS)
+    schema = "class_id long, n int, hs array<long>, asked array<int>, listed array<int>, seed long, " + ", ".join(f"{c} long" for c in BITS)
     return sets.select("class_id", "n", "hs").mapInArrow(run, schema)
 
 
@@ -166,43 +176,54 @@ def grouped(sets: DataFrame, group_size: int) -> DataFrame:
 
 def similar_classes(sets: DataFrame, percent: int = 75, group_size: int = 16) -> DataFrame:
     """(class_a, class_b, shared, united): pairs of classes, class_a < class_b, that share at least `percent` % of their terms."""
-    docs = grouped(shaped(sets, percent), group_size).persist(StorageLevel.DISK_ONLY)
-    matrix = docs.groupBy("g").agg(
+    shapes = staged(shaped(sets, percent))
+    matrix = staged(grouped(shapes.select("class_id", "n", "listed", "seed", *BITS), group_size).groupBy("g").agg(
         F.array_distinct(F.flatten(F.collect_list("listed"))).alias("listed"), F.min("n").alias("n_min"), F.max("n").alias("n_max"),
         *(F.expr(f"bit_or({c})").alias(f"u{c}") for c in BITS),
-    )
-    rows = matrix.select("g", "n_min", "n_max", *(f"u{c}" for c in BITS), F.explode("listed").alias("h"))
-    asked = docs.select("class_id", "n", *BITS, F.explode("asked").alias("h"))
+    ))
     # keys of many classes, found in every sixteenth class, are dealt out; what is found does not depend on it
-    seen = docs.filter(F.pmod(F.xxhash64("class_id"), F.lit(16)) == 0).select(F.explode("asked").alias("h")).groupBy("h").count()
-    hot = F.broadcast(seen.filter(F.col("count") > HOT_KEY // 16).orderBy(F.desc("count"), "h").limit(MAX_HOT_KEYS).select("h", F.lit(True).alias("hot")))
+    seen = shapes.filter(F.pmod(F.xxhash64("class_id"), F.lit(16)) == 0).select(F.explode("asked").alias("h")).groupBy("h").count()
+    hot = staged(seen.filter(F.col("count") > HOT_KEY // 16).orderBy(F.desc("count"), "h").limit(MAX_HOT_KEYS).select("h", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    asked = asked.join(hot, "h", "left").withColumn("salt", salt).drop("hot")
-    rows = rows.join(hot, "h", "left").withColumn("salt", F.explode(salts)).drop("hot")
     lone = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in BITS])
     # of n terms and m or more on the other side, a similar pair shares percent / (100 + percent) of the sum
     enough = lambda have, n, m: have * (100 + percent) >= (n + m) * percent
-    least = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / 100).cast("int"))
+    least = lambda n: F.greatest(F.col("n_min"), F.ceil(F.col(n) * percent / 100).cast("int"))
     sizes = (F.col("n_min") <= F.col("n")) & (F.col("n_max") * 100 >= F.col("n") * percent)
-    pairs = asked.join(rows, ["h", "salt"]).filter(sizes & enough(F.col("n") - lone("", "u"), F.col("n"), least)).select("class_id", "g").distinct()
-    # the bound on the token union of the group; that of a single member is the member, which is compared below
-    query = docs.select("class_id", F.col("n").alias("qn"), F.col("hs").alias("qs"), *(F.col(c).alias(f"q{c}") for c in BITS))
-    unions = docs.groupBy("g").agg(
-        F.count("*").alias("in_group"), F.min("n").alias("n_min"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("tokens")
-    ).filter("in_group > 1")
-    held = F.size(F.array_intersect("qs", "tokens"))
-    opened = pairs.join(query, "class_id").join(unions, "g", "left").filter(F.col("tokens").isNull() | enough(held, F.col("qn"), F.greatest(F.col("n_min"), F.ceil(F.col("qn") * percent / 100).cast("int"))))
-    # an opened group is compared by the members' own bits first, then by whole term sets
-    members = docs.select("g", F.col("class_id").alias("member"), "n", "hs", *BITS)
-    m = opened.select("g", "class_id", "qn", "qs", *(f"q{c}" for c in BITS)).join(members, "g")
-    m = m.filter(
+    near = []
+    for part in range(ROUNDS):
+        here = F.pmod("h", F.lit(ROUNDS)) == part
+        asked = shapes.select("class_id", "n", *BITS, F.explode("asked").alias("h")).filter(here).join(F.broadcast(hot), "h", "left").withColumn("salt", salt).drop("hot")
+        rows = matrix.select("g", "n_min", "n_max", *(f"u{c}" for c in BITS), F.explode("listed").alias("h")).filter(here)
+        rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.explode(salts)).drop("hot")
+        met = asked.join(rows, ["h", "salt"]).filter(sizes & enough(F.col("n") - lone("", "u"), F.col("n"), least("n")))
+        near.append(staged(met.select("class_id", "g").distinct()))
+    dropped(matrix, hot)
+    docs = staged(grouped(shapes.drop("asked", "listed"), group_size))
+    dropped(shapes)
+    # a group is opened only for members that pass on their own bits
+    query = docs.select("class_id", F.col("n").alias("qn"), *(F.col(c).alias(f"q{c}") for c in BITS))
+    m = reduce(DataFrame.unionByName, near).distinct().join(query, "class_id").join(docs.select("g", F.col("class_id").alias("member"), "n", *BITS), "g").filter(
         ((F.col("n") < F.col("qn")) | ((F.col("n") == F.col("qn")) & (F.col("member") < F.col("class_id")))) & (F.col("n") * 100 >= F.col("qn") * percent)
         & enough(F.col("qn") - lone("q", ""), F.col("qn"), F.col("n")) & enough(F.col("n") - lone("", "q"), F.col("qn"), F.col("n"))
     )
-    m = m.withColumn("shared", F.size(F.array_intersect("qs", "hs"))).withColumn("united", F.col("qn") + F.col("n") - F.col("shared"))
+    wanted = staged(m.groupBy("class_id", "g").agg(F.collect_list("member").alias("wanted")))
+    dropped(*near)
+    pairs = staged(wanted.join(docs.select("class_id", F.col("n").alias("qn"), F.col("hs").alias("qs")), "class_id"))
+    # the bound on the token union of the group; that of a single member is the member, which is compared below
+    groups = docs.join(wanted.select("g").distinct(), "g", "left_semi").groupBy("g").agg(
+        F.min("n").alias("n_min"), F.collect_list(F.struct(F.col("class_id").alias("member"), "n", "hs")).alias("held")
+    )
+    union = F.array_distinct(F.flatten("held.hs"))
+    opened = pairs.join(groups, "g").filter((F.size("held") == 1) | enough(F.size(F.array_intersect("qs", union)), F.col("qn"), least("qn")))
+    m = opened.select("class_id", "qn", "qs", F.explode(F.filter("held", lambda x: F.array_contains("wanted", x["member"]))).alias("x"))
+    m = m.select("class_id", "qn", "x.member", "x.n", F.size(F.array_intersect("qs", "x.hs")).alias("shared"))
+    m = m.withColumn("united", F.col("qn") + F.col("n") - F.col("shared"))
     both = F.least("class_id", "member").alias("class_a"), F.greatest("class_id", "member").alias("class_b")
-    return m.filter(F.col("shared") * 100 >= F.col("united") * percent).select(*both, "shared", "united")
+    found = staged(m.filter(F.col("shared") * 100 >= F.col("united") * percent).select(*both, "shared", "united"))
+    dropped(docs, wanted, pairs)
+    return found
 
 
 def near_duplicates(episodes: DataFrame, percent: int = 75, min_terms: int = 12, group_size: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +233,9 @@ def near_duplicates(episodes: DataFrame, percent: int = 75, min_terms: int = 12,
     empty and sign-only texts. An id that comes twice counts once.
     """
     sets, members = classes(records(episodes), min_terms)
-    return similar_classes(sets, percent, group_size), members
+    pairs = similar_classes(sets, percent, group_size)
+    dropped(sets)
+    return pairs, members
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

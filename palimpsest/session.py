@@ -18,6 +18,9 @@ DEFAULTS = {
     "spark.sql.unionOutputPartitioning": "false",  # see sources.tables.guard
 }
 
+#: Deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str | int = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -60,3 +63,26 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """`df` written densely in the shared folder and read from there; the shuffle files that it took are deleted at once.
+
+    For steps of a longer job: without this, the files of every step stay until the driver collects its garbage. See `dropped`.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by `staged` that no later step reads."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -162,6 +162,27 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, common, long_se
     assert all(counts[i].links >= (1 if links[i] else 0) for i in counts)
 
 
+def on_disk(spark):
+    """Bytes of the local files of shuffles and kept blocks."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()))
+
+
+def test_near_duplicates_leave_no_files(spark):
+    """Every step's shuffle files and kept tables are gone when the pairs are found, without waiting for a collection of garbage."""
+    rng = random.Random(4)
+    pool = [f"t{i}" for i in range(5_000)]
+    rows = []
+    for _ in range(400):
+        base = rng.sample(pool, 40)
+        rows += [(len(rows) + k, " ".join(edited(rng, base, k, pool)), None) for k in range(3)]
+    before, kept = on_disk(spark), spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    pairs, members = neardup.near_duplicates(spark.createDataFrame(rows, EPISODES))
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= kept
+    assert pairs.count() == 1_200 and members.count() == 1_200
+    assert on_disk(spark) - before < 8 * 40 * len(rows) // 4  # a quarter of one copy of the hashed terms
+
+
 def test_lookup_keys_meet(spark):
     """Any two sets similar enough share a key, whatever the split into rare and common terms."""
     import numpy as np
