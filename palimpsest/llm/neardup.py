@@ -174,13 +174,16 @@ def grouped(sets: DataFrame, group_size: int) -> DataFrame:
     return salted.withColumn("g", F.xxhash64("seed", salt)).drop("seed", "in_seed")
 
 
-def similar_classes(sets: DataFrame, percent: int = 75, group_size: int = 16) -> DataFrame:
-    """(class_a, class_b, shared, united): pairs of classes, class_a < class_b, that share at least `percent` % of their terms."""
-    shapes = staged(shaped(sets, percent))
+def similar_classes(shapes: DataFrame, percent: int = 75, group_size: int = 16) -> DataFrame:
+    """(class_a, class_b, shared, united): pairs of classes, class_a < class_b, that share at least `percent` % of their terms.
+
+    `shapes` is a `staged` table of what `shaped` gives; it is deleted when it has been read.
+    """
     matrix = staged(grouped(shapes.select("class_id", "n", "listed", "seed", *BITS), group_size).groupBy("g").agg(
         F.array_distinct(F.flatten(F.collect_list("listed"))).alias("listed"), F.min("n").alias("n_min"), F.max("n").alias("n_max"),
         *(F.expr(f"bit_or({c})").alias(f"u{c}") for c in BITS),
     ))
+    bits = staged(grouped(shapes.select("class_id", "n", "seed", *BITS), group_size).select("g", F.col("class_id").alias("member"), "n", *BITS))
     # keys of many classes, found in every sixteenth class, are dealt out; what is found does not depend on it
     seen = shapes.filter(F.pmod(F.xxhash64("class_id"), F.lit(16)) == 0).select(F.explode("asked").alias("h")).groupBy("h").count()
     hot = staged(seen.filter(F.col("count") > HOT_KEY // 16).orderBy(F.desc("count"), "h").limit(MAX_HOT_KEYS).select("h", F.lit(True).alias("hot")))
@@ -198,17 +201,17 @@ def similar_classes(sets: DataFrame, percent: int = 75, group_size: int = 16) ->
         rows = matrix.select("g", "n_min", "n_max", *(f"u{c}" for c in BITS), F.explode("listed").alias("h")).filter(here)
         rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.explode(salts)).drop("hot")
         met = asked.join(rows, ["h", "salt"]).filter(sizes & enough(F.col("n") - lone("", "u"), F.col("n"), least("n")))
-        near.append(staged(met.select("class_id", "g").distinct()))
-    dropped(matrix, hot)
+        met = met.dropDuplicates(["class_id", "g"]).select("class_id", "g", F.col("n").alias("qn"), *(F.col(c).alias(f"q{c}") for c in BITS))
+        # a group is opened only for members that pass on their own bits
+        m = met.join(bits, "g").filter(
+            ((F.col("n") < F.col("qn")) | ((F.col("n") == F.col("qn")) & (F.col("member") < F.col("class_id")))) & (F.col("n") * 100 >= F.col("qn") * percent)
+            & enough(F.col("qn") - lone("q", ""), F.col("qn"), F.col("n")) & enough(F.col("n") - lone("", "q"), F.col("qn"), F.col("n"))
+        )
+        near.append(staged(m.select("class_id", "g", "member")))
+    dropped(matrix, hot, bits)
     docs = staged(grouped(shapes.drop("asked", "listed"), group_size))
     dropped(shapes)
-    # a group is opened only for members that pass on their own bits
-    query = docs.select("class_id", F.col("n").alias("qn"), *(F.col(c).alias(f"q{c}") for c in BITS))
-    m = reduce(DataFrame.unionByName, near).distinct().join(query, "class_id").join(docs.select("g", F.col("class_id").alias("member"), "n", *BITS), "g").filter(
-        ((F.col("n") < F.col("qn")) | ((F.col("n") == F.col("qn")) & (F.col("member") < F.col("class_id")))) & (F.col("n") * 100 >= F.col("qn") * percent)
-        & enough(F.col("qn") - lone("q", ""), F.col("qn"), F.col("n")) & enough(F.col("n") - lone("", "q"), F.col("qn"), F.col("n"))
-    )
-    wanted = staged(m.groupBy("class_id", "g").agg(F.collect_list("member").alias("wanted")))
+    wanted = staged(reduce(DataFrame.unionByName, near).groupBy("class_id", "g").agg(F.collect_set("member").alias("wanted")))
     dropped(*near)
     pairs = staged(wanted.join(docs.select("class_id", F.col("n").alias("qn"), F.col("hs").alias("qs")), "class_id"))
     # the bound on the token union of the group; that of a single member is the member, which is compared below
@@ -233,9 +236,9 @@ def near_duplicates(episodes: DataFrame, percent: int = 75, min_terms: int = 12,
     empty and sign-only texts. An id that comes twice counts once.
     """
     sets, members = classes(records(episodes), min_terms)
-    pairs = similar_classes(sets, percent, group_size)
+    shapes = staged(shaped(sets, percent))
     dropped(sets)
-    return pairs, members
+    return similar_classes(shapes, percent, group_size), members
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
