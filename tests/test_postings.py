@@ -71,3 +71,14 @@ def test_bm25_ranks_inside_the_tasks(spark):
     rows = {(r.query_id, r.id): r.score for r in got.collect()}
     assert rows.keys() == expected.keys() and all(abs(rows[x] - expected[x]) < 1e-8 for x in rows)
     assert evaluate.bm25(cues, eps.filter("id < 0")).count() == 0
+
+
+def test_naive_scan_ranks_inside_the_tasks(spark):
+    cues, eps = made(spark, 300, 40)
+    got = evaluate.naive_scan(cues, eps, 5)
+    assert not pairs_moved(got)
+    texts, expected = {r.id: r.text for r in eps.collect()}, set()
+    for r in cues.filter("query_id is not null and cue is not null").collect():
+        scores = {i: float(sum(t in x for t in set(r.cue.split()))) for i, x in texts.items()}
+        expected |= {(r.query_id, i, s) for i, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5] if s}
+    assert {tuple(r) for r in got.collect()} == expected
