@@ -8,7 +8,7 @@ over the tokens of a text, brute scans) has an Arrow form that works on whole ba
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.postings import least as _least
+
 #: Bits of a word, and words of a full-width vector (8,220 bits).
 WORD_BITS, FULL_WORDS = 60, 137
 
@@ -107,11 +109,15 @@ def majority(df: DataFrame, keys: list[str], vector: str, words: int) -> DataFra
     return per_word.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias(vector))
 
 
-@lru_cache(maxsize=8_192)  # 8 KB each at full width
+@lru_cache(maxsize=8_192)  # 1 KB each at full width
+def _name_packed(name: str, words: int) -> np.ndarray:
+    values = [int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:15], 16) for i in range(words)]
+    return np.packbits(((np.array(values, dtype=np.int64)[:, None] >> np.arange(WORD_BITS)) & 1).astype(np.uint8).ravel())
+
+
 def name_bits(name: str, words: int) -> np.ndarray:
     """The bits of a name's vector as 0 and 1, in Python."""
-    values = [int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:15], 16) for i in range(words)]
-    return ((np.array(values, dtype=np.int64)[:, None] >> np.arange(WORD_BITS)) & 1).astype(np.uint8).ravel()
+    return np.unpackbits(_name_packed(name, words), count=words * WORD_BITS)
 
 
 def pack_bits(bits: np.ndarray) -> np.ndarray:
@@ -172,7 +178,7 @@ def bundle_groups(df: DataFrame, key: str, vector: str, words: int = FULL_WORDS)
     return part.groupBy("k").applyInPandas(total, "k long, n long, v array<bigint>").select(F.col("k").alias(key), "n", F.col("v").alias(vector))
 
 
-def nearest(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORDS, block: int = 256, rows_at_once: int = 256) -> DataFrame:
+def nearest(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORDS, block: int = 1_024, rows_at_once: int = 4_096) -> DataFrame:
     """The k stored vectors of least distance to each query, ties to the smaller id: (query_id, id, distance).
 
     queries (query_id, hv) is walked in blocks, each broadcast by itself and so of bounded size; the stored side (id, hv) is
@@ -188,21 +194,17 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WOR
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             qid, q = sent.value
+            to = _distances(q)
             for b in batches:
-                if not b.num_rows:
-                    continue
                 own = b.column("id").to_numpy()
                 s = b.column("hv").flatten().to_numpy().reshape(-1, words)
-                d = np.empty((len(qid), len(own)), dtype=np.int64)
-                for at in range(0, len(own), rows_at_once):  # so few that they stay in the processor's cache
-                    part = s[at : at + rows_at_once]
-                    for i in range(len(qid)):
-                        d[i, at : at + rows_at_once] = np.bitwise_count(part ^ q[i]).sum(axis=1, dtype=np.int64)
-                best = [_least(x, own, min(k, len(x))) for x in d]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": np.repeat(qid, [len(x) for x in best]), "id": own[np.concatenate(best)],
-                    "distance": np.concatenate([d[i, x] for i, x in enumerate(best)]),
-                })
+                for at in range(0, len(own), rows_at_once):
+                    ids, d = own[at : at + rows_at_once], to(s[at : at + rows_at_once])
+                    best = [_least(x, ids, min(k, len(x))) for x in d]
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": np.repeat(qid, [len(x) for x in best]), "id": ids[np.concatenate(best)],
+                        "distance": np.concatenate([d[i, x] for i, x in enumerate(best)]).astype(np.int64),
+                    })
 
         out = out.unionByName(stored.filter("id is not null and hv is not null").select("id", "hv").mapInArrow(run, schema))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -217,13 +219,36 @@ def _blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator[dict
         yield out | {"query_id": np.array([r.query_id for r in taken], dtype=np.int64), "hv": np.array([r.hv for r in taken], dtype=np.int64)}
 
 
-def _distances(q: np.ndarray, s: np.ndarray, rows_at_once: int = 256) -> np.ndarray:
-    d = np.empty((len(q), len(s)), dtype=np.int64)
-    for at in range(0, len(s), rows_at_once):  # so few that they stay in the processor's cache
-        part = s[at : at + rows_at_once]
-        for i in range(len(q)):
-            d[i, at : at + rows_at_once] = np.bitwise_count(part ^ q[i]).sum(axis=1, dtype=np.int64)
-    return d
+def _distances(q: np.ndarray, rows_at_once: int = 512) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of stored vectors that gives their distances to all of q, by matrix products of bits.
+
+    Two queries go through one product: as sums of at most 4,095 bits, one is told in units and the other in units of 4,096, and
+    both together stay below 2^24, up to which single precision holds every whole number. The distances are exact in any order of the sum.
+    """
+    bits = lambda v: np.unpackbits(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), 8 * v.shape[1]), axis=1, bitorder="little")
+    width, half = q.shape[1] * 64, -(-len(q) // 2)
+    edges = np.linspace(0, width, -(-width // 4_095) + 1).astype(int)
+    pairs = np.zeros((half, width), dtype=np.float32)
+    for at in range(0, half, 256):
+        pairs[at : at + 256] = bits(q[:half][at : at + 256])
+        pairs[at : at + 256][: max(0, len(q) - half - at)] += 4_096 * bits(q[half:][at : at + 256]).astype(np.float32)
+    own = np.bitwise_count(q).sum(axis=1, dtype=np.int32)
+
+    def to(s: np.ndarray) -> np.ndarray:
+        d = np.empty((len(q), len(s)), dtype=np.int32)
+        for at in range(0, len(s), rows_at_once):
+            part = s[at : at + rows_at_once]
+            theirs, low, high = bits(part), np.zeros((half, len(part)), dtype=np.int32), np.zeros((half, len(part)), dtype=np.int32)
+            for a, b in zip(edges, edges[1:]):
+                both = (pairs[:, a:b] @ theirs[:, a:b].astype(np.float32).T).astype(np.int32)
+                high += both >> 12
+                low += both & 4_095
+            many = own[:, None] + np.bitwise_count(part).sum(axis=1, dtype=np.int32)[None, :]
+            d[:half, at : at + rows_at_once] = many[:half] - 2 * low
+            d[half:, at : at + rows_at_once] = many[half:] - 2 * high[: len(q) - half]
+        return d
+
+    return to
 
 
 def ranked(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORDS, by_phi: bool = False, floor: float | None = None, block: int = 1_024) -> DataFrame:
@@ -243,7 +268,7 @@ def ranked(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORD
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q = sent.value
-            pop_q = np.bitwise_count(q["hv"]).sum(axis=1, dtype=np.int64).astype(float)
+            pop_q, to = np.bitwise_count(q["hv"]).sum(axis=1, dtype=np.int64).astype(float), _distances(q["hv"])
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -254,7 +279,7 @@ def ranked(queries: DataFrame, stored: DataFrame, k: int, words: int = FULL_WORD
                 rows: list[tuple[int, np.ndarray, np.ndarray]] = []
                 for at in range(0, len(ids), 4_096):
                     cut = slice(at, at + 4_096)
-                    d = _distances(q["hv"], s[cut])
+                    d = to(s[cut])
                     ends = np.where(np.isnan(end[cut]), np.inf, end[cut])
                     point = np.where(np.isnan(end[cut]), start[cut], end[cut])
                     for i, (t, low, high) in enumerate(zip(q["as_of"], q["low"], q["high"])):
@@ -291,22 +316,17 @@ def closest(queries: DataFrame, stored: DataFrame, words: int = FULL_WORDS, bloc
         sent = session.sparkContext.broadcast(part["hv"])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            to = _distances(sent.value)
             for b in batches:
                 if b.num_rows:
                     s = b.column("hv").flatten().to_numpy().reshape(-1, words)
-                    least = np.concatenate([_distances(sent.value, s[at : at + 4_096]).min(axis=0) for at in range(0, len(s), 4_096)])
+                    least = np.concatenate([to(s[at : at + 4_096]).min(axis=0) for at in range(0, len(s), 4_096)])
                     yield pa.RecordBatch.from_pydict({"id": b.column("id").to_numpy(), "score": 1 - least / float(words * WORD_BITS)})
 
         out = out.unionByName(stored.filter("id is not null and hv is not null").select("id", "hv").mapInArrow(run, schema))
     return out.groupBy("id").agg(F.max("score").alias("score"))
 
 
-def _least(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least distances, ties to the smaller id."""
-    near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-    return near[np.lexsort((ids[near], distance[near]))[:k]]
-
-
 # Encodings of facts, episodes, goals and beliefs.
 
 # Names of the role vectors.

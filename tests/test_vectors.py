@@ -102,3 +102,14 @@ def test_point_in_time_rules(spark):
     assert [r[0] for r in rows.select(S.valid_at(t("2024-01-05"))).collect()] == [False, True, False]  # the end is outside
     assert [r[0] for r in rows.select(S.overlaps(t("2024-01-05"), t("2024-02-01"))).collect()] == [True, False, False]  # both ends inside, an open end is a point
     assert [r[0] for r in rows.select(S.overlaps(t("2023-01-01"), t("2024-01-01"))).collect()] == [True, True, False]
+
+
+def test_distances_by_products_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    full = (1 << hv.WORD_BITS) - 1
+    for words, n, m in ((1, 1, 5), (4, 7, 3), (137, 5, 600)):
+        q, s = rng.integers(0, full + 1, (n, words)), rng.integers(0, full + 1, (m, words))
+        q[0], s[0] = full, full
+        assert (hv._distances(q)(s) == np.bitwise_count(q[:, None] ^ s[None]).sum(axis=2)).all()
