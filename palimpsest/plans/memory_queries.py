@@ -17,6 +17,7 @@ from palimpsest.operators import goals as G
 from palimpsest.operators import recall as R
 from palimpsest.operators import search, selfmodel, temporal
 from palimpsest.operators import unlearn as U
+from palimpsest.session import stored
 from palimpsest.sources import jsonl
 from palimpsest.sources.tables import table
 from palimpsest.streaming import sensory
@@ -156,8 +157,11 @@ def exact_recall(spark, d):
 
 
 def subject_recall(spark, d):
-    cues, posts, directory, weights, concepts, links = _recall_parts(spark, d)
-    named = cues.drop("subject").join(concepts.select(F.col("id").alias("query_id"), F.upper("canonical_name").alias("subject")), "query_id")
+    episodes, stones, concepts, cues = _t(spark, d, "episodes", "tombstones", "concepts", "cues")
+    # written down once: the plan of the tier then reads small tables, instead of making them anew
+    cues, posts, directory = (stored(x) for x in (R.with_defaults(cues), E.postings(episodes), E.scan_directory(episodes, stones)))
+    weights, links = stored(R.cue_weights(cues, posts, directory)), stored(E.bridge(episodes, concepts))
+    named = stored(cues.drop("subject").join(concepts.select(F.col("id").alias("query_id"), F.upper("canonical_name").alias("subject")), "query_id"))
     x = R.tier_exact(named, weights, posts, directory, concepts, links)
     return x.select("query_id", "id", r6("score").alias("score"), r6("confidence").alias("confidence"), "tier")
 

@@ -10,6 +10,7 @@ import numpy as np
 
 from palimpsest.functions.postings import Postings
 from palimpsest.operators import evaluate
+from palimpsest.plans import memory_queries
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -82,3 +83,8 @@ def test_naive_scan_ranks_inside_the_tasks(spark):
         scores = {i: float(sum(t in x for t in set(r.cue.split()))) for i, x in texts.items()}
         expected |= {(r.query_id, i, s) for i, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5] if s}
     assert {tuple(r) for r in got.collect()} == expected
+
+
+def test_subject_recall_reads_tables_made_once(spark):
+    got = memory_queries.subject_recall(spark, "/root/testdata/sf0.001")
+    assert got.count() and not any("episodes.parquet" in f or "cues.parquet" in f for f in got.inputFiles())
