@@ -11,17 +11,12 @@ episodes come back in id order. A null k counts as 10, a null min_confidence as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hv
 from palimpsest.functions import scoring as S
+from palimpsest.functions.postings import ranked
 from palimpsest.functions.text import terms
 from palimpsest.operators import episodes as E
 from palimpsest.session import checkpointed, stored
@@ -59,8 +54,8 @@ def top_k(scored: DataFrame, cues: DataFrame) -> DataFrame:
     """The best k rows per cue, by score and then id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     # the constant bound lets Spark cut each partition before the shuffle
-    ranked = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most(cues))
-    return ranked.join(cues.select("query_id", "k"), "query_id").filter("_r <= k").drop("_r", "k")
+    first = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most(cues))
+    return first.join(cues.select("query_id", "k"), "query_id").filter("_r <= k").drop("_r", "k")
 
 
 def cue_weights(cues: DataFrame, posts: DataFrame, directory: DataFrame) -> DataFrame:
@@ -95,69 +90,17 @@ def _alive(directory: DataFrame) -> DataFrame:
     return directory.filter("not tombstoned").select("id", _micros(F.col("valid_start")).alias("start"), _micros(F.col("valid_end")).alias("end"))
 
 
-def lexical_best(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory: DataFrame, block: int = 1_024, rows: int = 4_096) -> DataFrame:
+def lexical_best(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory: DataFrame, block: int = 4_096, rows: int = 32_768) -> DataFrame:
     """(query_id, id, score): the best rows of each cue by the summed weights of the terms they hold, over all live rows it allows.
 
-    The cues are a stated set, walked in blocks of bounded size; a task adds up the weights of its own rows for a
-    block and keeps the best of each cue, so no pair of cue and row leaves it. Terms go by 64-bit hashes; scores are
+    See `postings.ranked`: no pair of cue and row leaves the task that holds the row. Terms go by 64-bit hashes; scores are
     rounded to 9 places, so that ties do not hang on the order of the sum. Subjects are not looked at here.
     """
-    session, schema, k = posts.sparkSession, "query_id long, id long, score double", most(cues)
     held = posts.groupBy("id").agg(F.collect_list(F.xxhash64("term")).alias("hs")).join(_alive(directory), "id")
     held = stored(held.select("id", "hs", F.col("start").cast("double"), F.col("end").cast("double")))  # read once per block
     terms_of = weights.groupBy("query_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "w")).alias("ws"))
-    asked = _timed(cues).join(terms_of, "query_id").select("query_id", "as_of", "low", "high", "ws").toLocalIterator()
-    out = session.createDataFrame([], schema)
-    while taken := list(islice(asked, block)):
-        h = np.array([x.h for r in taken for x in r.ws], dtype=np.int64)
-        order = np.argsort(h, kind="stable")
-        q = np.repeat(np.arange(len(taken)), [len(r.ws) for r in taken])[order]
-        w = np.array([x.w for r in taken for x in r.ws])[order]
-        known, first, many = np.unique(h[order], return_index=True, return_counts=True)
-        times = np.array([[np.nan if t is None else float(t) for t in (r.as_of, r.low, r.high)] for r in taken])
-        sent = session.sparkContext.broadcast((np.array([r.query_id for r in taken], dtype=np.int64), times, known, first, many, q, w))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, times, known, first, many, q, w = sent.value
-            for b in batches:
-                for at in range(0, b.num_rows, rows):
-                    part = b.slice(at, rows)
-                    n = part.num_rows
-                    ids = part.column("id").to_numpy()
-                    start, end = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("start", "end"))
-                    lens = pc.list_value_length(part.column("hs")).to_numpy()
-                    have = part.column("hs").flatten().to_numpy()
-                    row = np.repeat(np.arange(n), lens)
-                    place = np.minimum(np.searchsorted(known, have), len(known) - 1)
-                    hit = known[place] == have
-                    place, row = place[hit], row[hit]
-                    if not len(place):
-                        continue
-                    each = many[place]
-                    entry = np.repeat(first[place] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
-                    cell = q[entry] * n + np.repeat(row, each)
-                    scores = np.bincount(cell, w[entry], len(qid) * n).reshape(len(qid), n)
-                    found = []
-                    for i in np.flatnonzero(np.bincount(q[entry], minlength=len(qid))):
-                        fits = scores[i] > 0
-                        t, low, high = times[i]
-                        if not np.isnan(t):
-                            fits &= (start <= t) & ((t < end) | np.isnan(end))
-                        if not (np.isnan(low) or np.isnan(high)):
-                            fits &= (start <= high) & (np.where(np.isnan(end), start, end) >= low)
-                        may = np.flatnonzero(fits)
-                        if len(may):
-                            s = np.round(scores[i, may], 9)
-                            best = hv._least(-s, ids[may], min(k, len(may)))
-                            found.append((i, ids[may][best], s[best]))
-                    if found:
-                        yield pa.RecordBatch.from_pydict({
-                            "query_id": np.repeat(qid[[f[0] for f in found]], [len(f[1]) for f in found]),
-                            "id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]),
-                        })
-
-        out = out.unionByName(held.mapInArrow(run, schema))
-    return top_k(out, cues)
+    asked = _timed(cues).join(cues.select("query_id", "k"), "query_id").join(terms_of, "query_id")
+    return top_k(ranked(asked, held, block=block, rows=rows), cues)
 
 
 def tier_lexical(cues: DataFrame, weights: DataFrame, posts: DataFrame, directory: DataFrame) -> DataFrame:
@@ -259,13 +202,13 @@ def cascade(cues: DataFrame, episodes: DataFrame, tombstones: DataFrame, concept
     vectors has id, sig, gist and emb (null where missing), in one table or as a table (id, hv) per name; without it
     only the tiers on tokens run. embedded_cues has query_id and hv for the semantic tier. min_confidence applies after the choice of the tier and may leave none.
     """
-    cues = with_defaults(cues)
+    # written down once: each plan of a tier then reads small tables, instead of making them anew
+    cues = stored(with_defaults(cues))
     deepest = S.TIERS.index(floor)
-    posts = E.postings(episodes).persist()
-    directory = E.scan_directory(episodes, tombstones).persist()
-    links = E.bridge(episodes, concepts)
-    weights = cue_weights(cues, posts, directory).persist()
-    allow = subject_candidates(cues, concepts, links).persist()
+    posts, directory = stored(E.postings(episodes)), stored(E.scan_directory(episodes, tombstones))
+    links = stored(E.bridge(episodes, concepts))
+    weights = stored(cue_weights(cues, posts, directory))
+    allow = stored(subject_candidates(cues, concepts, links))
     spoken = cues.filter(F.size(terms("cue")) > 0)
     # each tier's rows are written down: what is left for the next tiers is then read, not computed anew
     out = checkpointed(tier_exact(cues, weights, posts, directory, concepts, links))
